@@ -28,6 +28,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    model = train(docs.filter(~F.col("held_out")))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
@@ -43,8 +53,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from . import common
+    from .warc import read_warc, write_warc
+
+    pages = table(spark, sf_dir, "pages")
+    uri = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    uri = uri if "://" in uri else f"file://{uri.removeprefix('file:')}"
+    write_warc(pages, uri)
+    return read_warc(spark, uri, pages.schema["page_id"].dataType)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op5_hilbert_sharding, op6_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_language_id, op5_hilbert_sharding, op6_token_counts, op7_warc, op9_decontaminate)}
 
 
 _TEXT = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
@@ -55,6 +84,23 @@ ORACLE = {
         r AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY plain) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY sha256(payload)) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4)) & 31)::INT, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM s""",
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, len(win) AS m, array_to_string(win, ' ') AS win FROM (SELECT item_id, unnest([w[i:i+7] FOR i IN range(1, greatest(1, len(w) - 7) + 1)]) AS win FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT m FROM bw),
+        dw AS (SELECT doc_id, m, i, array_to_string(w[i:i+m-1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+        hit AS (SELECT doc_id, dw.m, i, item_id FROM dw JOIN bw USING (m, win)),
+        words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
 
 
