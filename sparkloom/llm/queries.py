@@ -72,8 +72,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .toxicity import fit, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(~held_out("doc_id", 4, 2)))
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_language_id, op5_hilbert_sharding, op6_token_counts, op7_warc, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_language_id, op5_hilbert_sharding, op6_token_counts, op7_warc, op9_decontaminate, op10_toxicity)}
 
 
 _TEXT = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
