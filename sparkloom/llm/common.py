@@ -87,3 +87,8 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def term_buckets(spark: SparkSession) -> int:
+    """Into how many buckets terms are dealt: more for more partitions, but fewer than these, as each block answers each bucket."""
+    return max(8, round(4 * shuffle_partitions(spark) ** 0.5))

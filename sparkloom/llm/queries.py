@@ -16,6 +16,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .lm_score import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -83,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_language_id, op5_hilbert_sharding, op6_token_counts, op7_warc, op9_decontaminate, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_best_fit_packing, op3_exact_dedup, op4_language_id, op5_hilbert_sharding, op6_token_counts, op7_warc, op9_decontaminate, op10_toxicity)}
 
 
 _TEXT = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"

@@ -80,7 +80,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
     Null and empty texts have 0 bytes and tokens; repeated rows and repeated or null ids give a row each; other columns are ignored.
     """
     spark = df.sparkSession
-    n_buckets = buckets or min(2048, max(8, common.shuffle_partitions(spark)))
+    n_buckets = buckets or common.term_buckets(spark)
     id_type = df.schema[id_col].dataType
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
