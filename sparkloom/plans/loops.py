@@ -78,12 +78,12 @@ def global_scan(df: DataFrame, value: Column, order: list[str], name: str = "sca
     cols = df.columns
     dealt = cut(df.withColumn("__v", value).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     sums = sorted((r["__part"], r["s"]) for r in dealt.groupBy("__part").agg(F.sum("__v").alias("s")).collect())
-    before, rows = 0, []
+    real = dict(dealt.dtypes)["__v"] in ("double", "float")
+    before, rows = 0.0 if real else 0, []
     for part, s in sums:
         rows.append((part, before))
         before += s or 0
-    kind = dict(dealt.dtypes)["__v"]
-    starts = spark.createDataFrame(rows, "__part int, __before " + ("double" if kind in ("double", "float") else "long"))
+    starts = spark.createDataFrame(rows, "__part int, __before " + ("double" if real else "long"))
     upto = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.coalesce(F.sum("__v").over(upto), F.lit(0))).select(*cols, name)
 
