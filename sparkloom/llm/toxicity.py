@@ -52,43 +52,58 @@ class Terms(dict):
 class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks of `width` examples with the greatest weight of each term and block.
 
-    nearest() sums these greatest weights into a bound for each block, takes blocks by falling bound, scores their examples, and
-    stops at the first block that cannot reach the k-th best found: the result is exact."""
+    nearest() sums these greatest weights into a bound for each block and scores the blocks of the greatest bounds, `first` of
+    them; the blocks that cannot reach the k-th best of these are skipped, and the rest are scored: the result is exact."""
 
-    def __init__(self, vectors: list[dict[int, float]], width: int = 64):
-        self.n, self.width = len(vectors), width
+    def __init__(self, vectors: list[dict[int, float]], width: int = 128, first: int = 3):
+        self.n, self.width, self.first = len(vectors), width, first
+        self.blocks = -(-self.n // width)
         postings: dict[int, list[tuple[int, float]]] = {}
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 postings.setdefault(t, []).append((i, w))
-        self.post = {t: (np.asarray([i for i, _ in p], np.int64), np.asarray([w for _, w in p])) for t, p in postings.items()}
-        self.peaks = {}
-        for t, (at, w) in self.post.items():
-            blocks, first = np.unique(at // width, return_index=True)
-            self.peaks[t] = (blocks, np.maximum.reduceat(w, first), np.append(first, len(at)))
+        self.post, self.peaks = {}, {}
+        for t, p in postings.items():
+            at, w = np.asarray([i for i, _ in p], np.int64), np.asarray([w for _, w in p])
+            edges = np.searchsorted(at, np.arange(self.blocks + 1) * width)
+            peak = np.zeros(self.blocks)
+            np.maximum.at(peak, at // width, w)
+            self.post[t], self.peaks[t] = (at, w, edges), peak
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples with the greatest positive cosine, best first; ties go to the smaller number."""
-        n_blocks = -(-self.n // self.width)
-        bound = np.zeros(n_blocks)
         terms = [(t, q) for t, q in query.items() if t in self.post]
-        for t, q in terms:
-            blocks, peak, _ = self.peaks[t]
-            bound[blocks] += q * peak
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(self.width)
+        if not terms:
+            return []
+        bound = np.asarray([q for _, q in terms]) @ np.stack([self.peaks[t] for t, _ in terms])
+        order = np.argsort(-bound, kind="stable")
+        best = self.score(terms, order[: self.first], k)
+        least = best[-1][0] - 1e-12 if len(best) == k else 1e-300
+        rest = order[self.first :]
+        rest = rest[bound[rest] >= least]
+        return sorted([*best, *self.score(terms, rest, k)], key=lambda x: (-x[0], x[1]))[:k] if len(rest) else best
+
+    def score(self, terms: list[tuple[int, float]], blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best examples of these blocks."""
+        scores = np.zeros(self.blocks * self.width)
+        if len(blocks) * 4 < self.blocks:
             for t, q in terms:
-                blocks, _, edges = self.peaks[t]
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    at, w = self.post[t]
-                    scores[at[edges[j] : edges[j + 1]] - b * self.width] += q * w[edges[j] : edges[j + 1]]
-            hits = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(scores[i]), int(b * self.width + i)) for i in hits)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+                at, w, edges = self.post[t]
+                for b in blocks:
+                    i, j = edges[b], edges[b + 1]
+                    if i < j:
+                        scores[at[i:j]] += q * w[i:j]
+        else:
+            for t, q in terms:
+                at, w, _ = self.post[t]
+                scores[at] += q * w
+        rows = (blocks[:, None] * self.width + np.arange(self.width)).ravel()
+        rows = rows[scores[rows] > 0]
+        own = scores[rows]
+        if len(rows) > k:
+            keep = own >= np.partition(own, len(own) - k)[len(own) - k]
+            rows, own = rows[keep], own[keep]
+        return sorted(zip(own.tolist(), rows.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
 
 def unit(tf: dict[int, int], idf: np.ndarray) -> dict[int, float]:
