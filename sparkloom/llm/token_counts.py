@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,16 +26,22 @@ class Postings:
     """Per-document frequencies of a block of documents, dealt by term: a payload for each bucket of terms holds the bucket's
     terms with their documents (numbers within the block) and frequencies. Terms hold no line feed."""
 
-    @staticmethod
-    def write(counts: list[dict[bytes, int]], buckets: int):
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.term, self.freq, self.lengths = array("I"), array("q"), array("q")
+
+    def add(self, counts: dict[bytes, int]) -> None:
+        """The next document's frequencies."""
+        put, index = self.index.setdefault, self.index
+        self.term.extend([put(t, len(index)) for t in counts])
+        self.freq.extend(counts.values())
+        self.lengths.append(len(counts))
+
+    def write(self, buckets: int):
         """Yields (bucket, payload)."""
-        index: dict[bytes, int] = {}
-        lengths = np.fromiter((len(c) for c in counts), np.int64, len(counts))
-        flat = [index.setdefault(t, len(index)) for c in counts for t in c]
-        term = np.asarray(flat, np.int64)
-        freq = np.fromiter((n for c in counts for n in c.values()), np.int64, len(flat))
-        doc = np.repeat(np.arange(len(counts), dtype=np.int64), lengths)
-        terms = list(index)
+        term, freq = np.asarray(self.term).astype(np.int64), np.asarray(self.freq)
+        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int64), np.asarray(self.lengths))
+        terms = list(self.index)
         of = bucket_of(terms, buckets)
         names = np.lexsort((np.arange(len(terms)), of))  # terms by bucket
         rank = np.empty(len(terms), np.int64)
@@ -89,24 +96,26 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
 
         tokens, block = PreTokens.of(tokenizer), TaskContext.get().partitionId() << 32
         for table in common.blocks(batches, "text"):
-            texts = common.binary(table["text"])
-            counts = []
-            for data in texts:
-                text = data.decode("utf-8")
-                if tokens.odd(text):
-                    counts.append(Counter(t.encode() for t in tokens.library_split(text)))
-                else:
-                    c: dict[bytes, int] = {}
-                    for chunk, n in Counter(text.lower().encode().split()).items():
-                        for t in tokens.split(chunk):
-                            t = t.encode()
-                            c[t] = c.get(t, 0) + n
-                    counts.append(c)
-            rows = list(Postings.write(counts, n_buckets))
+            sizes: list[int] = []
+            posts = Postings()
+            for part in common.slices(table.to_batches(), "text", 4 << 20):
+                for data in common.binary(part.column(1)):
+                    sizes.append(len(data))
+                    text = data.decode("utf-8")
+                    if tokens.odd(text):
+                        posts.add(Counter(t.encode() for t in tokens.library_split(text)))
+                    else:
+                        c: dict[bytes, int] = {}
+                        for chunk, n in Counter(text.lower().encode().split()).items():
+                            for t in tokens.split(chunk):
+                                t = t.encode()
+                                c[t] = c.get(t, 0) + n
+                        posts.add(c)
+            rows = list(posts.write(n_buckets))
             yield out(([b for b, _ in rows], [block] * len(rows), [p for _, p in rows], [None] * len(rows), [None] * len(rows)), table["id"].type)
             yield pa.RecordBatch.from_arrays([
                 pa.array([block % n_buckets], pa.int32()), pa.array([block], pa.int64()), pa.array([None], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table["id"].combine_chunks()), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table["id"].combine_chunks()), pa.array([sizes], pa.list_(pa.int64())),
             ], ["bucket", "block", "payload", "ids", "sizes"])
             block += 1
 
