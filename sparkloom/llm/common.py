@@ -92,3 +92,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def term_buckets(spark: SparkSession) -> int:
     """Into how many buckets terms are dealt: more for more partitions, but fewer than these, as each block answers each bucket."""
     return max(8, round(4 * shuffle_partitions(spark) ** 0.5))
+
+
+#: What operators remember in a worker from task to task, by name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, cache):
+    """Makes a cache known, so that only() can empty it."""
+    _KEPT[name] = cache
+    return cache
+
+
+def only(name: str) -> None:
+    """Empties all caches but one and gives their memory back: a worker that serves several operators holds what one needs."""
+    import ctypes
+
+    gone = [n for n, c in _KEPT.items() if n != name and len(c)]
+    for n in gone:
+        _KEPT[n].clear()
+    if gone:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)

@@ -141,6 +141,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
 
     def count(batches):
+        common.only("")
         total = np.zeros((1 << bits, len(langs)))
         scripts = np.zeros((len(_NAMES), len(langs)))
         for b in common.slices(batches, "text"):
@@ -188,6 +189,7 @@ def identify(df: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "
         out.append(T.StructField("spans", span_type))
 
     def label(batches):
+        common.only("")
         m = shared.value
         for table in common.blocks(batches, "text", 12 << 20):
             rows = [words_of(t) for t in common.binary(table["text"])]

@@ -13,6 +13,8 @@ import unicodedata
 
 import numpy as np
 
+from . import common
+
 _ODD = re.compile("[\x80-\x9f\xa0İɐ-\U0010ffff]|<\\|(?:startoftext|endoftext)\\|>")
 
 
@@ -28,7 +30,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 class PreTokens:
     """path: a tokenizers .json file whose splitter is the pattern above. Caches hold at most `most` entries and are emptied beyond."""
 
-    _of: dict[str, "PreTokens"] = {}
+    _of: dict[str, "PreTokens"] = common.kept("pre-tokens", {})
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
@@ -49,6 +51,7 @@ class PreTokens:
 
     @classmethod
     def of(cls, path: str) -> "PreTokens":
+        common.only("pre-tokens")
         if path not in cls._of:
             cls._of[path] = cls(path)
         return cls._of[path]
