@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Counters of the sketch that orders shingles, rarest first. A coarser sketch costs candidates, never links.
-SKETCH_BITS = 21
+SKETCH_BITS = 23
 #: Candidate sets up to this many are named to every task (64 MB); beyond, all sets are joined to their names.
 BROADCAST_SETS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +29,7 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
+_words = common.kept("shingle words", _Words())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,6 +57,12 @@ def set_id(s: np.ndarray) -> bytes:
     return int(a.sum(dtype=np.uint64)).to_bytes(8, "big") + int(b.sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
+def parities(s: np.ndarray) -> bytes:
+    """512 bits: whether an even or odd number of the set's shingles falls on each. Two sets differ in at least as many shingles as
+    their parities in bits."""
+    return np.packbits(np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
+
+
 def overlap_needed(a: int, b: int, num: int, den: int) -> int:
     """The least intersection of sets of a and b shingles that link: den * i >= num * (a + b - i)."""
     return -(-num * (a + b) // (den + num))
@@ -70,7 +76,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
     1. Shingles are ordered by a sketch of how many sets have them, rarest first, then by hash. Two sets that link share one of
        the first (1 - num/den) |A| + 1 of each; these go to index lists, with their position and the set's size.
     2. A list is read by size, in blocks of one size. A block whose size is out of reach, or entries whose positions leave too few
-       shingles behind them, are skipped. First each list only pairs its entries with its smallest reachable entry, the centre.
+       shingles behind them or whose parities differ too much, are skipped. First each list only pairs its entries with its smallest reachable entry, the centre.
     3. Pairs are verified on whole sets. Links make components; distances to the centres stay.
     4. Lists are read again, now for pairs across components: two sets with one centre need no verification when their distances
        to it, by the triangle inequality, decide. The rest is verified.
@@ -84,19 +90,21 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     # classes of equal sets
     def identify(batches):
+        common.only("shingle words")
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
-            ids, sizes = [], []
+            ids, sizes, odd = [], [], []
             for text in common.binary(b.column(1)):
                 s = shingles(text, width)
+                odd.append(parities(s) if len(s) else None)
                 key = set_id(s) if len(s) else None
                 ids.append(key)
                 sizes.append(len(s))
                 if key is not None and key not in seen and len(seen) < 2_000_000:
                     seen.add(key)
                     np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["id", "set", "size", "part", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary())], ["id", "set", "size", "part", "sketch"])
         if sketch.any():
             cut = [common.pack(x) for x in np.split(sketch, 32)]
             yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary())], ["id", "set", "size", "part", "sketch"])
@@ -114,12 +122,12 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                 one = common.unpack(data, np.uint32).astype(np.int64)
                 if part != at:
                     if held is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack(np.log2(held + 1).astype(np.uint8))], pa.binary())], ["part", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack((8 * np.log2(held + 1)).astype(np.uint8))], pa.binary())], ["part", "sketch"])
                     at, held = part, one
                 else:
                     held += one
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack(np.log2(held + 1).astype(np.uint8))], pa.binary())], ["part", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack((8 * np.log2(held + 1)).astype(np.uint8))], pa.binary())], ["part", "sketch"])
 
     summed = told.filter("part is not null").select("part", "sketch").repartition(32, "part").sortWithinPartitions("part").mapInArrow(add, "part int, sketch binary").collect()
     ranks = np.zeros((32, (1 << sketch_bits) // 32), np.uint8)
@@ -132,6 +140,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     # index entries: the first shingles of each distinct set of a task
     def prefixes(batches):
+        common.only("shingle words")
         sent: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
             toks, sets, sizes, places = [], [], [], []
@@ -173,19 +182,27 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
             yield table.take(pa.array(at[keep])).combine_chunks().to_batches()[0] if keep.any() else b.slice(0, 0)
             held, told_ = table.slice(int(at[-1]), 1).combine_chunks().to_batches()[0], last_told
 
-    lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int"))
+    odd = told.filter("set is not null").groupBy("set").agg(F.first("sketch").alias("odd"))
+    lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int").join(odd, "set").select("tok", "set", "size", "pos", "odd"))
 
     def reach(size: int) -> int:
         return size * den // num  # the greatest size that links with this one
 
-    def can(a_size, a_pos, b_size, b_pos) -> bool:
-        return 1 + min(a_size - a_pos - 1, b_size - b_pos - 1) >= overlap_needed(a_size, b_size, num, den)
+    def can(a, b) -> bool:
+        """Whether two rows (tok, set, size, pos, parities) of one list may link, by their positions and parities."""
+        need = overlap_needed(a[2], b[2], num, den)
+        return min(a[2] - a[3], b[2] - b[3]) >= need and (a[4] ^ b[4]).bit_count() <= a[2] + b[2] - 2 * need
+
+    def rows_of(b):
+        cols = [c.to_pylist() for c in b.columns]
+        cols[4] = [int.from_bytes(x, "big") for x in cols[4]]
+        return zip(*cols)
 
     def by_list(batches):
         """Each list's rows, as tuples; lists come one after the other, by size."""
         at, held = None, []
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
+            for row in rows_of(b):
                 if row[0] != at:
                     if len(held) > 1:
                         yield held
@@ -201,10 +218,10 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         found: set = set()
         centre = None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
+            for row in rows_of(b):
                 if centre is None or row[0] != centre[0] or row[2] > reach(centre[2]):  # another list, or blocks out of the centre's reach
                     centre = row
-                elif can(centre[2], centre[3], row[2], row[3]):
+                elif can(centre, row):
                     found.add((centre[1], row[1]))
             if len(found) > 100_000:
                 yield pairs_out(found)
@@ -212,11 +229,11 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         yield pairs_out(found)
 
     def across(batches):
-        """Pairs across components: rows are (tok, set, size, pos, component, centre, distance to it)."""
+        """Pairs across components: rows are (tok, set, size, pos, parities, component, centre, distance to it)."""
         found: set = set()
         limit = 1 - num / den
         for rows in by_list(batches):
-            if len({r[4] for r in rows}) < 2:
+            if len({r[5] for r in rows}) < 2:
                 continue
             first = 0
             for j, row in enumerate(rows):
@@ -224,9 +241,9 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                     first += 1
                 for i in range(first, j):
                     other = rows[i]
-                    if other[4] == row[4] or not can(other[2], other[3], row[2], row[3]):
+                    if other[5] == row[5] or not can(other, row):
                         continue
-                    if row[5] is not None and other[5] == row[5] and abs(other[6] - row[6]) > limit + 1e-9:
+                    if row[6] is not None and other[6] == row[6] and abs(other[7] - row[7]) > limit + 1e-9:
                         continue
                     found.add((other[1], row[1]) if other[1] < row[1] else (row[1], other[1]))
             if len(found) > 100_000:
@@ -236,6 +253,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     def sets_of(wanted):
         def f(batches):
+            common.only("shingle words")
             known = None if wanted is None else wanted.value
             sent: set[bytes] = set()
             for b in common.slices(batches, "text", 8 << 20):
@@ -283,12 +301,12 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         return common.cut(rows.withColumn("linked", den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).withColumn("distance", distance))
 
-    stars = checked(lists.sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary"))
+    stars = checked(lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary"))
     links = stars.filter("linked").select("a", "b")
     first = components(links)
     nearest = stars.groupBy(F.col("b").alias("set")).agg(F.min(F.struct("distance", "a")).alias("m")).select("set", F.col("m.a").alias("centre"), F.col("m.distance").alias("distance"))
     marked = lists.join(first.withColumnRenamed("node", "set"), "set", "left").join(nearest, "set", "left")
-    marked = marked.select("tok", "set", "size", "pos", F.coalesce("root", "set").alias("component"), "centre", "distance")
+    marked = marked.select("tok", "set", "size", "pos", "odd", F.coalesce("root", "set").alias("component"), "centre", "distance")
     more = marked.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(across, "a binary, b binary")
     swapped = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = checked(more.distinct().join(swapped, ["a", "b"], "left_anti"))
