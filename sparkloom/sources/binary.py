@@ -119,11 +119,12 @@ def read_binary_csr(spark: SparkSession, path: str) -> DataFrame:
             f.seek(24 + 8 * low)
             src, ends, last = [], [], low
             while not ends or ends[-1] < first + len(x):
-                some = np.frombuffer(f.read(8 * 65536), "<i8")
-                if not len(some):
+                count_ = min(65536, n + 1 - last)
+                if count_ <= 0:
                     break
-                ends += some[1:].tolist() if not ends else some.tolist()
-                last += len(some)
+                some = np.frombuffer(f.read(8 * count_), "<i8")
+                ends += some[1:].tolist() if last == low else some.tolist()
+                last += count_
         src = low + np.searchsorted(np.asarray(ends), np.arange(first, first + len(x)), side="right")
         return pd.DataFrame({"src": src, "dst": np.ascontiguousarray(x).view("<u4").ravel()})
 
