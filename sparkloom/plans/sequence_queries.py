@@ -189,7 +189,7 @@ def is_partitioned(spark, sf_dir):
 
 
 @query("SELECT row_number() OVER (ORDER BY value, idx) - 1 AS idx, value FROM s")
-def cilksort(spark, sf_dir):
+def parallel_sort(spark, sf_dir):
     return sorting.sort(seq(spark, sf_dir))
 
 
