@@ -245,10 +245,10 @@ def pagerank_unnormalised(spark, sf_dir):
     return ranking.pagerank_unnormalised(*directed(spark, sf_dir), iterations=8).withColumn("rank", F.round("rank", 9))
 
 
-@query(unrolled("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS x FROM v", "SELECT v.id, 0.15 / (SELECT count(*) FROM v) + 0.85 * coalesce(sum(p.x * d.w / 200.0), 0) AS x FROM v LEFT JOIN d ON d.dst = v.id LEFT JOIN {prev} p ON p.id = d.src GROUP BY v.id", 6, "SELECT id, round(x * 1000, 6) AS rank FROM {last}"))
+@query(unrolled("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS x FROM v", "SELECT v.id, 0.15 / (SELECT count(*) FROM v) + 0.85 * coalesce(sum(p.x * d.w / 200.0), 0) AS x FROM v LEFT JOIN d ON d.dst = v.id LEFT JOIN {prev} p ON p.id = d.src GROUP BY v.id", 6, "SELECT id, round(x * 1000, 9) AS rank FROM {last}"))
 def pagerank_matrix(spark, sf_dir):
     v, e = directed(spark, sf_dir)
-    return ranking.pagerank_matrix(v, e.withColumn("w", F.col("w") / 200.0), iterations=6).withColumn("rank", F.round(F.col("rank") * 1000, 6))
+    return ranking.pagerank_matrix(v, e.withColumn("w", F.col("w") / 200.0), iterations=6).withColumn("rank", F.round(F.col("rank") * 1000, 9))
 
 
 @query()

@@ -134,9 +134,9 @@ def bounding_box(spark, sf_dir):
     return nbody.bounding_box(bodies(spark, sf_dir))
 
 
-@query(f"WITH {_B} SELECT a.id AS a, c.id AS b FROM b a JOIN b c ON a.id < c.id WHERE (a.x - c.x) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2 < 0.05::DOUBLE * 0.05")
+@query(f"WITH {_B} SELECT a.id AS a, c.id AS b FROM b a JOIN b c ON a.id < c.id WHERE (a.x - c.x) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2 < 0.15::DOUBLE * 0.15")
 def range_pairs_3d(spark, sf_dir):
-    return ann.pairs_within(bodies(spark, sf_dir), 0.05, ["x", "y", "z"])
+    return ann.pairs_within(bodies(spark, sf_dir), 0.15, ["x", "y", "z"])
 
 
 @query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY w")
