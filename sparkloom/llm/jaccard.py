@@ -14,6 +14,8 @@ from . import common
 SKETCH_BITS = 23
 #: Candidate sets up to this many are named to every task (64 MB); beyond, all sets are joined to their names.
 BROADCAST_SETS = 4 << 20
+#: Links that a task joins at once into stars.
+TASK_LINKS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,10 +79,10 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
        the first (1 - num/den) |A| + 1 of each; these go to index lists, with their position and the set's size.
     2. A list is read by size, in blocks of one size. A block whose size is out of reach, or entries whose positions leave too few
        shingles behind them or whose parities differ too much, are skipped. First each list only pairs its entries with its smallest reachable entry, the centre.
-    3. Pairs are verified on whole sets. Links make components; distances to the centres stay.
+    3. Of a set's centres the nearest by parities is verified on whole sets. Links make components; distances to the centres stay.
     4. Lists are read again, now for pairs across components: two sets with one centre need no verification when their distances
        to it, by the triangle inequality, decide. The rest is verified.
-    So large groups of near copies cost about a pair a member and list, whereas pairs that differ are all found. Sets travel for
+    So large groups of near copies cost about a pair a member, whereas pairs that differ are all found. Sets travel for
     candidates only.
     """
     spark = df.sparkSession
@@ -215,18 +217,25 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     def star(batches):
-        found: set = set()
+        """(centre, set, parities that differ): of a task's centres of a set the one that is nearest by parities."""
+        found: dict = {}
         centre = None
         for b in batches:
             for row in rows_of(b):
                 if centre is None or row[0] != centre[0] or row[2] > reach(centre[2]):  # another list, or blocks out of the centre's reach
                     centre = row
                 elif can(centre, row):
-                    found.add((centre[1], row[1]))
+                    way = ((centre[4] ^ row[4]).bit_count(), centre[1])
+                    if way < found.get(row[1], (1 << 30,)):
+                        found[row[1]] = way
             if len(found) > 100_000:
-                yield pairs_out(found)
-                found = set()
-        yield pairs_out(found)
+                yield ways_out(found)
+                found = {}
+        yield ways_out(found)
+
+    def ways_out(found):
+        gaps, centres = zip(*found.values()) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(centres, pa.binary()), pa.array(list(found), pa.binary()), pa.array(gaps, pa.int32())], ["a", "b", "gap"])
 
     def across(batches):
         """Pairs across components: rows are (tok, set, size, pos, parities, component, centre, distance to it)."""
@@ -301,10 +310,11 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         return common.cut(rows.withColumn("linked", den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).withColumn("distance", distance))
 
-    stars = checked(lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary"))
+    ways = lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary, gap int")
+    stars = checked(ways.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("way")).select(F.col("way.a").alias("a"), "b"))
     links = stars.filter("linked").select("a", "b")
     first = components(links)
-    nearest = stars.groupBy(F.col("b").alias("set")).agg(F.min(F.struct("distance", "a")).alias("m")).select("set", F.col("m.a").alias("centre"), F.col("m.distance").alias("distance"))
+    nearest = stars.select(F.col("b").alias("set"), F.col("a").alias("centre"), "distance")
     marked = lists.join(first.withColumnRenamed("node", "set"), "set", "left").join(nearest, "set", "left")
     marked = marked.select("tok", "set", "size", "pos", "odd", F.coalesce("root", "set").alias("component"), "centre", "distance")
     more = marked.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(across, "a binary, b binary")
@@ -321,14 +331,41 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def state_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
+def forest(batches):
+    """For the links of a task: (node, least node of its component among these links), without the roots themselves."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for k in range(0, len(nodes), 50_000):
+        part = nodes[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], ["v", "u"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b): root is the least node that links reach.
 
-    Alternating large and small stars: a round links each node's greater neighbours, then its other neighbours, to the least of
-    them. Rounds grow with the logarithm of a component's size; edges never outnumber the links."""
+    First each task replaces its links by the stars of the components that they make, so that a group of many links costs later
+    joins a row a member. Then alternating large and small stars: a round links each node's greater neighbours, then its other
+    neighbours, to the least of them. Rounds grow with the logarithm of a component's size; edges never outnumber the links."""
     edges = common.cut(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    edges = edges.select("v", "u")  # v > u
-    before = None
+    tasks = -(-edges.count() // TASK_LINKS)
+    edges = common.cut(edges.coalesce(max(1, tasks)).mapInArrow(forest, "v binary, u binary"))  # v > u
+    before = state_of(edges)
     for _ in range(64):
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -336,7 +373,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").union(low.select("v", F.col("m").alias("u"))).distinct()
         edges = common.cut(small)
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        state = state_of(edges)
         if state == before:
             break
         before = state
