@@ -165,7 +165,8 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
     entries = src.mapInArrow(prefixes, "tok long, set binary, size int, pos int").repartition(parts, "tok").sortWithinPartitions("tok", "size", "set")
 
     def shared(batches):
-        """Entries of lists of more than one set, once for each set. Entries come by list; the last one waits for the next batch."""
+        """Entries with another set of their list in reach of their size, once for each set. Entries come by list and size, so the
+        nearest sizes are next to them; the last entry waits for the next batch."""
         held, told_ = None, False  # the last entry, and whether it is out already
         for b in batches:
             if not b.num_rows:
@@ -176,7 +177,8 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
             fresh = np.concatenate([[True], ~(same & np.fromiter((x == y for x, y in zip(sets, sets[1:])), bool, len(same)))])
             at = np.flatnonzero(fresh)
             tok = tok[at]
-            before = np.concatenate([[False], tok[1:] == tok[:-1]])
+            size = table.column(2).to_numpy()[at].astype(np.int64)
+            before = np.concatenate([[False], (tok[1:] == tok[:-1]) & (size[1:] * num <= size[:-1] * den)])
             after = np.append(before[1:], False)
             keep = before | after
             keep[0] &= not (held is not None and told_)
