@@ -12,7 +12,7 @@ from . import common
 
 #: Counters of the sketch that orders shingles, rarest first. A coarser sketch costs candidates, never links.
 SKETCH_BITS = 23
-#: Candidate sets up to this many are named to every task (64 MB); beyond, all sets are joined to their names.
+#: Candidate sets up to this many are named to every task (a text's digest each, 32 MB); beyond, all sets are joined to their names.
 BROADCAST_SETS = 4 << 20
 #: Links that a task joins at once into stars.
 TASK_LINKS = 400_000
@@ -65,6 +65,13 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
 
 
+def digest(text: bytes) -> int:
+    """64 bits by which later passes find a text again; texts that share one only cost a set more."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text)
+
+
 def overlap_needed(a: int, b: int, num: int, den: int) -> int:
     """The least intersection of sets of a and b shingles that link: den * i >= num * (a + b - i)."""
     return -(-num * (a + b) // (den + num))
@@ -96,9 +103,10 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
-            ids, sizes, odd = [], [], []
+            ids, sizes, odd, digests = [], [], [], []
             for text in common.binary(b.column(1)):
                 s = shingles(text, width)
+                digests.append(digest(text) if len(s) else None)
                 odd.append(parities(s) if len(s) else None)
                 key = set_id(s) if len(s) else None
                 ids.append(key)
@@ -106,15 +114,16 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                 if key is not None and key not in seen and len(seen) < 2_000_000:
                     seen.add(key)
                     np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary())], ["id", "set", "size", "part", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64())], names)
         if sketch.any():
             cut = [common.pack(x) for x in np.split(sketch, 32)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary())], ["id", "set", "size", "part", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary()), pa.nulls(32, pa.int64())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(id_type)
-    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType())])
+    names = kind.names
     told = common.cut(src.mapInArrow(identify, kind))
 
     def add(batches):
@@ -187,7 +196,8 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
             held, told_ = table.slice(int(at[-1]), 1).combine_chunks().to_batches()[0], last_told
 
     odd = told.filter("set is not null").groupBy("set").agg(F.first("sketch").alias("odd"))
-    lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int").join(odd, "set").select("tok", "set", "size", "pos", "odd"))
+    digests = told.filter("set is not null").groupBy("set").agg(F.min("digest").alias("digest"))
+    lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int"))
 
     def reach(size: int) -> int:
         return size * den // num  # the greatest size that links with this one
@@ -263,17 +273,23 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         yield pairs_out(found)
 
     def sets_of(wanted):
+        """Sets of the texts whose digests are wanted (a few others may come too), or of all."""
+
         def f(batches):
             common.only("shingle words")
-            known = None if wanted is None else wanted.value
             sent: set[bytes] = set()
             for b in common.slices(batches, "text", 8 << 20):
                 keys, bodies = [], []
-                for text in common.binary(b.column(1)):
+                texts = common.binary(b.column(1))
+                if wanted is not None and len(wanted.value):
+                    own = np.fromiter(map(digest, texts), np.uint64, len(texts)).view(np.int64)
+                    at = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
+                    texts = [texts[i] for i in np.flatnonzero(wanted.value[at] == own)]
+                for text in texts if wanted is None or len(wanted.value) else []:
                     s = shingles(text, width)
                     if len(s):
                         key = set_id(s)
-                        if key not in sent and (known is None or key in known):
+                        if key not in sent:
                             if len(sent) < 2_000_000:
                                 sent.add(key)
                             keys.append(key)
@@ -300,25 +316,27 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = common.cut(pairs.distinct())
-        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        n = names.count()
-        if n <= broadcast_most:
-            bodies = src.mapInArrow(sets_of(spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in names.collect()))), "set binary, body binary")
+        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        if wanted.count() <= broadcast_most:
+            texts = np.sort(np.fromiter((r[0] for r in wanted.join(digests, "set").select("digest").collect()), np.int64))
+            bodies = src.mapInArrow(sets_of(spark.sparkContext.broadcast(texts)), "set binary, body binary")
         else:
-            bodies = src.mapInArrow(sets_of(None), "set binary, body binary").join(names, "set", "left_semi")
+            bodies = src.mapInArrow(sets_of(None), "set binary, body binary").join(wanted, "set", "left_semi")
         bodies = common.cut(bodies.groupBy("set").agg(F.max("body").alias("body")))
         a, b = bodies.select(F.col("set").alias("a"), F.col("body").alias("x")), bodies.select(F.col("set").alias("b"), F.col("body").alias("y"))
         rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, both long, na long, nb long")
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         return common.cut(rows.withColumn("linked", den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).withColumn("distance", distance))
 
-    ways = lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary, gap int")
+    ways = lists.join(odd, "set").select("tok", "set", "size", "pos", "odd").repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary, gap int")
     stars = checked(ways.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("way")).select(F.col("way.a").alias("a"), "b"))
     links = stars.filter("linked").select("a", "b")
     first = components(links)
     nearest = stars.select(F.col("b").alias("set"), F.col("a").alias("centre"), "distance")
-    marked = lists.join(first.withColumnRenamed("node", "set"), "set", "left").join(nearest, "set", "left")
-    marked = marked.select("tok", "set", "size", "pos", "odd", F.coalesce("root", "set").alias("component"), "centre", "distance")
+    named = lists.join(first.withColumnRenamed("node", "set"), "set", "left").select("tok", "set", "size", "pos", F.coalesce("root", "set").alias("component"))
+    mixed = named.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("tok")
+    marked = named.join(mixed, "tok", "left_semi").join(odd, "set").join(nearest, "set", "left")
+    marked = marked.select("tok", "set", "size", "pos", "odd", "component", "centre", "distance")
     more = marked.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(across, "a binary, b binary")
     swapped = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = checked(more.distinct().join(swapped, ["a", "b"], "left_anti"))
