@@ -14,6 +14,8 @@ from . import common
 SKETCH_BITS = 23
 #: Candidate sets up to this many are named to every task (a text's digest each, 32 MB); beyond, all sets are joined to their names.
 BROADCAST_SETS = 4 << 20
+#: Sets of so many shingles are compared by counts, too, before they are verified.
+LARGE_SET = 512
 #: Links that a task joins at once into stars.
 TASK_LINKS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +67,13 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
 
 
+def counts(s: np.ndarray) -> bytes | None:
+    """How many of a large set's shingles fall on each of 512 numbers, modulo 256: tells apart large sets, whose parities do not."""
+    if len(s) < LARGE_SET:
+        return None
+    return np.bincount((mix(s ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8).tobytes()
+
+
 def digest(text: bytes) -> int:
     """64 bits by which later passes find a text again; texts that share one only cost a set more."""
     import xxhash
@@ -86,7 +95,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
        the first (1 - num/den) |A| + 1 of each; these go to index lists, with their position and the set's size.
     2. A list is read by size, in blocks of one size. A block whose size is out of reach, or entries whose positions leave too few
        shingles behind them or whose parities differ too much, are skipped. First each list only pairs its entries with its smallest reachable entry, the centre.
-    3. Of a set's centres the nearest by parities is verified on whole sets. Links make components; distances to the centres stay.
+    3. Of a set's centres the nearest by parities is verified on whole sets, unless counts of large sets part the two. Links make components; distances to the centres stay.
     4. Lists are read again, now for pairs across components: two sets with one centre need no verification when their distances
        to it, by the triangle inequality, decide. The rest is verified.
     So large groups of near copies cost about a pair a member, whereas pairs that differ are all found. Sets travel for
@@ -103,10 +112,11 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
-            ids, sizes, odd, digests = [], [], [], []
+            ids, sizes, odd, digests, large = [], [], [], [], []
             for text in common.binary(b.column(1)):
                 s = shingles(text, width)
                 digests.append(digest(text) if len(s) else None)
+                large.append(counts(s))
                 odd.append(parities(s) if len(s) else None)
                 key = set_id(s) if len(s) else None
                 ids.append(key)
@@ -114,15 +124,15 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                 if key is not None and key not in seen and len(seen) < 2_000_000:
                     seen.add(key)
                     np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64()), pa.array(large, pa.binary())], names)
         if sketch.any():
             cut = [common.pack(x) for x in np.split(sketch, 32)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary()), pa.nulls(32, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(id_type)
-    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType())])
+    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType()), T.StructField("counts", T.BinaryType())])
     names = kind.names
     told = common.cut(src.mapInArrow(identify, kind))
 
@@ -196,6 +206,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
             held, told_ = table.slice(int(at[-1]), 1).combine_chunks().to_batches()[0], last_told
 
     odd = told.filter("set is not null").groupBy("set").agg(F.first("sketch").alias("odd"))
+    sketches = told.filter("set is not null").groupBy("set").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
     digests = told.filter("set is not null").groupBy("set").agg(F.min("digest").alias("digest"))
     lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int"))
 
@@ -314,8 +325,22 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                 right.append(len(y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inter, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b", "both", "na", "nb"])
 
+    def near(batches):
+        """Pairs that the counts of large sets do not part: rows are (a, b, size and counts of a, of b)."""
+        for b in batches:
+            ok = []
+            for m, x, n, y in zip(*(c.to_pylist() for c in b.columns[2:])):
+                if x is None or y is None:
+                    ok.append(True)
+                    continue
+                d = np.frombuffer(x, np.uint8) - np.frombuffer(y, np.uint8)
+                ok.append(int(np.minimum(d, -d).sum(dtype=np.int64)) <= m + n - 2 * overlap_needed(m, n, num, den))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = common.cut(pairs.distinct())
+        a, b = (sketches.select(F.col("set").alias(x), F.col("size").alias(f"{x}_size"), F.col("counts").alias(f"{x}_counts")) for x in "ab")
+        pairs = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_size", "a_counts", "b_size", "b_counts")
+        pairs = common.cut(pairs.mapInArrow(near, "a binary, b binary"))
         wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
         if wanted.count() <= broadcast_most:
             texts = np.sort(np.fromiter((r[0] for r in wanted.join(digests, "set").select("digest").collect()), np.int64))
