@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from collections import Counter
 
@@ -65,6 +66,10 @@ def grams(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
+#: The worker's scores of words: model, rows (word -> row of table) and table.
+_known: dict = common.kept("language words", {})
+
+
 class Model:
     """langs; logs[gram, lang]: log probability ratios of hashed grams; allowed[script, lang]."""
 
@@ -75,14 +80,15 @@ class Model:
         self.logs = (self.logs - self.logs.mean(1, keepdims=True)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
         self.allowed = share >= 0.001
-        self.rows: dict[bytes, int] = {}
-        self.table = np.zeros((0, len(langs)), np.float32)
+        self.key = uuid.uuid4().hex
 
     def scores(self, words: list[bytes], most: int = 500_000) -> np.ndarray:
-        """Scores of all words, each found once; a word in a script that leaves no or every candidate tells by its grams alone."""
-        if len(self.rows) > most:
-            self.rows, self.table = {}, self.table[:0]
-        new = list(set(words) - self.rows.keys())
+        """For each word its row of table; each word is scored once, and a worker keeps the scores of one model at a time. A word
+        in a script that leaves no or every candidate tells by its grams alone."""
+        if _known.get("model") != self.key or len(_known["rows"]) > most:
+            _known.update(model=self.key, rows={}, table=np.zeros((0, len(self.langs)), np.float32))
+        rows = _known["rows"]
+        new = list(set(words) - rows.keys())
         if new:
             hashed, of = grams(new, self.bits)
             s = np.stack([np.bincount(of, weights=self.logs[hashed, k], minlength=len(new)) for k in range(len(self.langs))], 1)
@@ -91,10 +97,14 @@ class Model:
             ok = self.allowed[np.maximum(kinds, 0)] | ~self.allowed[np.maximum(kinds, 0)].any(1, keepdims=True)
             s = np.where(ok, s, -30.0)
             s[kinds < 0] = 0
-            base = len(self.table)
-            self.table = np.concatenate([self.table, s.astype(np.float32)])
-            self.rows.update(zip(new, range(base, base + len(new))))
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            base = len(_known["table"])
+            _known["table"] = np.concatenate([_known["table"], s.astype(np.float32)])
+            rows.update(zip(new, range(base, base + len(new))))
+        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+
+    @property
+    def table(self) -> np.ndarray:
+        return _known["table"]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -189,9 +199,9 @@ def identify(df: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "
         out.append(T.StructField("spans", span_type))
 
     def label(batches):
-        common.only("")
+        common.only("language words")
         m = shared.value
-        for table in common.blocks(batches, "text", 12 << 20):
+        for table in common.blocks(batches, "text", 6 << 20):
             rows = [words_of(t) for t in common.binary(table["text"])]
             lengths = np.fromiter(map(len, rows), np.int64, len(rows))
             words = [w for r in rows for w in r]
