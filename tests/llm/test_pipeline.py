@@ -48,3 +48,17 @@ def test_run_and_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in p.run(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_decontaminate_drops_one_item(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    texts = [None, "", "nothing of it here", f"before {item} after", "Two, three four five six seven eight NINE", "two three four five six seven eight", "short item", "a short item here", "short, another item", f"{item} short item"]
+    bench = [(1, item), (2, "short item"), (3, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    windows = {tuple(w[i : i + 8]) for w in (plain(t) for _, t in bench) if w for i in range(max(1, len(w) - 7))}
+    holds = lambda w: any(tuple(w[i : i + len(x)]) == x for x in windows for i in range(len(w)))
+    want = [i for i, t in enumerate(texts) if not holds(plain(t))]
+    assert want == [0, 1, 2, 5, 8]
+    assert sorted(r.doc_id for r in p.decontaminate(spark, docs, str(tmp_path)).collect()) == want
