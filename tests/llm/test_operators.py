@@ -366,6 +366,43 @@ def test_lm_score(docs, empty):
     assert 0 < total < 1
 
 
+def test_lm_contexts_are_exact(docs):
+    from pyspark.sql import functions as F
+
+    import sparkloom.llm.lm_score as lm
+
+    src = docs.select("text", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)).alias("train"))
+    texts = [(r.text or "").encode() for r in src.filter("train").collect()]
+    words = Counter(w for t in texts for w in [*t.lower().split(), b""])
+    want = [Counter() for _ in range(lm.COUNTED)]
+    for w, n in words.items():
+        for i, byte in enumerate(w + b" "):
+            for k, (order, _, _, least) in enumerate(lm.CONTEXTS[: lm.COUNTED]):
+                for j in range(lm.DEPTH[byte] if n >= least else 0):
+                    want[k][(b" " + w)[-order + i + 1 if order and i + 1 > order else 0 : i + 1], int(lm.NODES[byte, j]), int(lm.BITS[byte, j])] += n
+    groups = docs.sparkSession.sparkContext.broadcast(lm.Groups(texts))
+    seen = Counter()
+    for _, data, known in lm.gathered(_batches(lm.gather(lm.count_words(src, groups, 3), 3))):
+        terms, _ = lm.read_words(data)
+        seen.update(terms)
+        for w in terms:
+            e = lm.Events([w])
+            at = np.repeat(np.arange(len(w) + 1), e.depth)
+            for k, (order, _, _, _) in enumerate(lm.CONTEXTS[: lm.COUNTED]):
+                table, place = known.look(e, k)
+                for i, node, got in zip(at.tolist(), e.node.tolist(), table.sum(2)[place].tolist()):
+                    ctx = (b" " + w)[-order + i + 1 if order and i + 1 > order else 0 : i + 1]
+                    assert got == [want[k][ctx, node, 0], want[k][ctx, node, 1]]
+    assert max(seen.values()) == 1 and seen.keys() >= words.keys()
+
+
+def _batches(df):
+    import pyarrow as pa
+
+    rows_ = sorted(df.collect(), key=lambda r: (r.row, r.kind))
+    yield pa.RecordBatch.from_pylist([r.asDict() for r in rows_], pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())]))
+
+
 def test_helpers(spark, docs):
     assert common.shared_dir(spark)
     assert common.cut(docs).count() == docs.count()
