@@ -67,6 +67,16 @@ def blocks(batches, text: str, max_bytes: int = BLOCK_BYTES, max_rows: int = BLO
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def numbers(df: DataFrame) -> np.ndarray:
+    """The one long column of df on the driver, eight bytes a row: it comes in packed blocks, one or a few a task."""
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())], ["data"])
+
+    return np.frombuffer(b"".join(bytes(r[0]) for r in df.mapInArrow(packed, "data binary").toLocalIterator()), np.int64)
+
+
 def crc_of_id(name: str = "doc_id"):
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(name).cast("string").cast("binary"))

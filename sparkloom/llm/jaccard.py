@@ -14,10 +14,10 @@ from . import common
 SKETCH_BITS = 23
 #: Candidate sets up to this many are named to every task (a text's digest each, 32 MB); beyond, all sets are joined to their names.
 BROADCAST_SETS = 4 << 20
-#: Sets of so many shingles are compared by counts, too, before they are verified.
-LARGE_SET = 512
 #: Links that a task joins at once into stars.
 TASK_LINKS = 400_000
+#: Entries of one index list that a task compares with as many others; longer lists are cut and their parts compared in pairs.
+LIST_PART = 4_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,17 +61,29 @@ def set_id(s: np.ndarray) -> bytes:
     return int(a.sum(dtype=np.uint64)).to_bytes(8, "big") + int(b.sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
-def parities(s: np.ndarray) -> bytes:
-    """512 bits: whether an even or odd number of the set's shingles falls on each. Two sets differ in at least as many shingles as
-    their parities in bits."""
-    return np.packbits(np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
+def most_apart(size: int, num: int, den: int) -> int:
+    """The most shingles in which a set of this size and one that links with it differ."""
+    return size * (den - num) // num
 
 
-def counts(s: np.ndarray) -> bytes | None:
-    """How many of a large set's shingles fall on each of 512 numbers, modulo 256: tells apart large sets, whose parities do not."""
-    if len(s) < LARGE_SET:
-        return None
-    return np.bincount((mix(s ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8).tobytes()
+def parities(s: np.ndarray, num: int, den: int) -> bytes:
+    """Whether an even or odd number of the set's shingles falls on each bit: eight bits for each shingle in which a set that links
+    may differ, 512 to 4096. Two sets differ in at least as many shingles as their parities in bits."""
+    bits = min(4096, max(512, 1 << (8 * most_apart(len(s), num, den)).bit_length()))
+    place = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: tuple[int, int], b: tuple[int, int]) -> int:
+    """In how many bits two parities (number, bits) differ; the longer one is folded first."""
+    (x, m), (y, n) = a, b
+    while m > n:
+        m >>= 1
+        x = (x ^ (x >> m)) & ((1 << m) - 1)
+    while n > m:
+        n >>= 1
+        y = (y ^ (y >> n)) & ((1 << n) - 1)
+    return (x ^ y).bit_count()
 
 
 def digest(text: bytes) -> int:
@@ -86,20 +98,23 @@ def overlap_needed(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (den + num))
 
 
-def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, broadcast_most: int = BROADCAST_SETS) -> DataFrame:
+def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, broadcast_most: int = BROADCAST_SETS, list_part: int = LIST_PART) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (the smallest id that links reach, its own included).
 
     Two texts link when den * |A and B| >= num * |A or B|; those without words link with nothing. Rows of one set are one class
     from the start (null ids count as greatest; a class of null ids has a null component). Then, on distinct sets:
     1. Shingles are ordered by a sketch of how many sets have them, rarest first, then by hash. Two sets that link share one of
        the first (1 - num/den) |A| + 1 of each; these go to index lists, with their position and the set's size.
-    2. A list is read by size, in blocks of one size. A block whose size is out of reach, or entries whose positions leave too few
-       shingles behind them or whose parities differ too much, are skipped. First each list only pairs its entries with its smallest reachable entry, the centre.
-    3. Of a set's centres the nearest by parities is verified on whole sets, unless counts of large sets part the two. Links make components; distances to the centres stay.
-    4. Lists are read again, now for pairs across components: two sets with one centre need no verification when their distances
-       to it, by the triangle inequality, decide. The rest is verified.
-    So large groups of near copies cost about a pair a member, whereas pairs that differ are all found. Sets travel for
-    candidates only.
+    2. In each list and range of sizes the entry of the least position is a centre: it has the fewest shingles of its own. A set
+       takes the one of its centres that its parities allow, and is compared with it on whole sets. Links make components.
+    3. Answers of sets with one centre are derived from the centre's: what tells a set from its centre (its difference) is known, and
+       two such sets link only if their differences do not differ by more than they may. Differences have index lists of their own,
+       in the group of the centre, the members' rarest parts first, so what the whole group shares costs nothing.
+    4. Sets of different centres and components are found by the first index lists. All lists are read in blocks of one size and
+       position; a block whose size or position leaves too little to share is skipped with all its entries, as are blocks of one component
+       or centre. What is left is parted by parities, then verified on whole sets.
+    A large group of near copies costs about a pair a member, whereas all pairs that differ are found. Long lists are cut into parts
+    of list_part entries, and each pair of parts is a task's work of its own.
     """
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType
@@ -112,27 +127,26 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
-            ids, sizes, odd, digests, large = [], [], [], [], []
+            ids, sizes, odd, digests = [], [], [], []
             for text in common.binary(b.column(1)):
                 s = shingles(text, width)
                 digests.append(digest(text) if len(s) else None)
-                large.append(counts(s))
-                odd.append(parities(s) if len(s) else None)
+                odd.append(parities(s, num, den) if len(s) else None)
                 key = set_id(s) if len(s) else None
                 ids.append(key)
                 sizes.append(len(s))
                 if key is not None and key not in seen and len(seen) < 2_000_000:
                     seen.add(key)
                     np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64()), pa.array(large, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64())], names)
         if sketch.any():
             cut = [common.pack(x) for x in np.split(sketch, 32)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(32, id_arrow), pa.nulls(32, pa.binary()), pa.nulls(32, pa.int64()), pa.array(range(32), pa.int32()), pa.array(cut, pa.binary()), pa.nulls(32, pa.int64())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(id_type)
-    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType()), T.StructField("counts", T.BinaryType())])
+    kind = T.StructType([T.StructField("id", id_type), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType())])
     names = kind.names
     told = common.cut(src.mapInArrow(identify, kind))
 
@@ -156,8 +170,8 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         ranks[r["part"]] = common.unpack(bytes(r["sketch"]), np.uint8)
     ranks = spark.sparkContext.broadcast(ranks.ravel())  # 2**sketch_bits bytes
 
-    def ordered(s: np.ndarray) -> np.ndarray:
-        return s[np.lexsort((s, ranks.value[(s >> np.uint64(64 - sketch_bits)).astype(np.int64)]))]
+    def rank(s: np.ndarray) -> np.ndarray:
+        return ranks.value[(s >> np.uint64(64 - sketch_bits)).astype(np.int64)]
 
     # index entries: the first shingles of each distinct set of a task
     def prefixes(batches):
@@ -175,7 +189,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
                 if len(sent) < 2_000_000:
                     sent.add(key)
                 n = len(s) - (-(-num * len(s) // den)) + 1
-                toks.append(ordered(s)[:n].view(np.int64))
+                toks.append(s[np.lexsort((s, rank(s)))][:n].view(np.int64))
                 sets += [key] * n
                 sizes += [len(s)] * n
                 places += range(n)
@@ -205,83 +219,115 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
             yield table.take(pa.array(at[keep])).combine_chunks().to_batches()[0] if keep.any() else b.slice(0, 0)
             held, told_ = table.slice(int(at[-1]), 1).combine_chunks().to_batches()[0], last_told
 
-    odd = told.filter("set is not null").groupBy("set").agg(F.first("sketch").alias("odd"))
-    sketches = told.filter("set is not null").groupBy("set").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
-    digests = told.filter("set is not null").groupBy("set").agg(F.min("digest").alias("digest"))
+    sets = told.filter("set is not null").groupBy("set").agg(F.first("size").alias("size"), F.first("sketch").alias("odd"), F.min("digest").alias("digest"))
+    odd = sets.select("set", "odd")
     lists = common.cut(entries.mapInArrow(shared, "tok long, set binary, size int, pos int"))
 
-    def reach(size: int) -> int:
-        return size * den // num  # the greatest size that links with this one
+    def read(odd: bytes) -> tuple[int, int]:
+        return int.from_bytes(odd, "little"), 8 * len(odd)
 
-    def can(a, b) -> bool:
-        """Whether two rows (tok, set, size, pos, parities) of one list may link, by their positions and parities."""
-        need = overlap_needed(a[2], b[2], num, den)
-        return min(a[2] - a[3], b[2] - b[3]) >= need and (a[4] ^ b[4]).bit_count() <= a[2] + b[2] - 2 * need
+    def allowed(a: int, b: int) -> int:
+        """In how many shingles sets of a and b that link may differ."""
+        return a + b - 2 * overlap_needed(a, b, num, den)
 
-    def rows_of(b):
-        cols = [c.to_pylist() for c in b.columns]
-        cols[4] = [int.from_bytes(x, "big") for x in cols[4]]
-        return zip(*cols)
+    def weigh(batches):
+        """Candidate centres (a, b, size and parities of both, position) with 0 if they may link, 1 if they are not far from it."""
+        for b in batches:
+            far = []
+            for m, n, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                apart, most = bits_apart(read(x), read(y)), allowed(m, n)
+                far.append(0 if apart <= most else 1 if 2 * apart <= 3 * most else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.int32()), b.column(6)], ["a", "b", "far", "pos"])
+
+    def centres() -> DataFrame:
+        """(a, b): sets b with their centres a. Ranges of sizes are as wide as links reach and overlap by half."""
+        half = F.floor(F.log(F.col("size").cast("double")) / (np.log(den / num) / 2 if den > num else 1e-9)).cast("long")
+        ranges = F.array(F.floor(half / 2) * 2, F.floor((half + 1) / 2) * 2 + 1)
+        own = lists.select("tok", "set", "size", "pos", F.explode(ranges).alias("sizes"))
+        first = own.groupBy("tok", "sizes").agg(F.min(F.struct("pos", "set", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("tok", "sizes", "c")
+        both = F.col("size") + F.col("c.size")
+        need = F.ceil(both * num / (den + num) - 1e-9)
+        pairs = own.join(first, ["tok", "sizes"]).filter((F.col("set") != F.col("c.set")) & (F.least(F.col("size") - F.col("pos"), F.col("c.size") - F.col("c.pos")) >= need))
+        pairs = pairs.groupBy(F.col("c.set").alias("a"), F.col("set").alias("b")).agg(F.first("c.size").alias("m"), F.first("size").alias("n"), F.min("c.pos").alias("pos"))
+        pairs = pairs.join(odd.select(F.col("set").alias("a"), F.col("odd").alias("x")), "a").join(odd.select(F.col("set").alias("b"), F.col("odd").alias("y")), "b")
+        told_ = pairs.select("a", "b", "m", "n", "x", "y", "pos").mapInArrow(weigh, "a binary, b binary, far int, pos int").filter("far is not null")
+        return told_.groupBy("b").agg(F.min(F.struct("far", "pos", "a")).alias("way")).select(F.col("way.a").alias("a"), "b")
 
     def by_list(batches):
-        """Each list's rows, as tuples; lists come one after the other, by size."""
+        """Rows of each list or pair of its parts, as tuples; they come one after the other."""
         at, held = None, []
         for b in batches:
-            for row in rows_of(b):
-                if row[0] != at:
+            cols = [c.to_pylist() for c in b.columns]
+            cols[7] = [read(x) for x in cols[7]]
+            for row in zip(*cols):
+                if row[:3] != at:
                     if len(held) > 1:
                         yield held
-                    at, held = row[0], []
+                    at, held = row[:3], []
                 held.append(row)
         if len(held) > 1:
             yield held
 
+    def codes(values: list) -> np.ndarray:
+        """A number for each value, -1 for None."""
+        at: dict = {}
+        return np.asarray([-1 if v is None else at.setdefault(v, len(at)) for v in values], np.int64)
+
+    def across(derived: bool):
+        """Pairs of different components: rows are (tok, low, high, part, set, size, pos, parities, component, centre, apart), apart
+        being the size of the difference whose index list it is where derived."""
+
+        def f(batches):
+            found: set = set()
+            for rows in by_list(batches):
+                held: dict = {}
+                for r in rows:
+                    held[r[8]] = held.get(r[8], 0) + 1
+                if len(held) < 2:
+                    continue
+                blocks: dict = {}
+                for r in rows:
+                    blocks.setdefault((r[5], r[6], r[10], r[3], None if derived else r[9], r[8] if held[r[8]] > 1 else None), []).append(r)
+                keys = sorted(blocks, key=lambda k: k[:4])
+                members = [blocks[k] for k in keys]
+                size, pos, apart, part = (np.asarray([k[i] for k in keys], np.int64) for i in range(4))
+                centre, component = codes([k[4] for k in keys]), codes([k[5] for k in keys])
+                split = rows[0][1] != rows[0][2]
+                for j in range(len(keys)):
+                    lo = int(np.searchsorted(size, -(-num * size[j] // den)))  # the blocks of sizes that do not reach this one are skipped
+                    i = slice(lo, j + 1)
+                    most = size[i] + size[j] - 2 * -(-num * (size[i] + size[j]) // (den + num))
+                    if derived:
+                        ok = (2 * pos[i] <= apart[i] - apart[j] + most) & (2 * pos[j] <= apart[j] - apart[i] + most)
+                    else:
+                        ok = 2 * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= size[i] + size[j] - most
+                        ok &= (centre[i] != centre[j]) | (centre[j] < 0)
+                    ok &= (component[i] != component[j]) | (component[j] < 0)
+                    if split:
+                        ok &= part[i] != part[j]
+                    for k in (lo + np.flatnonzero(ok)).tolist():
+                        limit = int(most[k - lo])
+                        for n, y in enumerate(members[j]):
+                            for x in members[k][:n] if k == j else members[k]:
+                                if x[8] != y[8] and x[4] != y[4] and bits_apart(x[7], y[7]) <= limit:
+                                    found.add((x[4], y[4]) if x[4] < y[4] else (y[4], x[4]))
+                        if len(found) > 100_000:
+                            yield pairs_out(found)
+                            found = set()
+            yield pairs_out(found)
+
+        return f
+
     def pairs_out(found):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
-    def star(batches):
-        """(centre, set, parities that differ): of a task's centres of a set the one that is nearest by parities."""
-        found: dict = {}
-        centre = None
-        for b in batches:
-            for row in rows_of(b):
-                if centre is None or row[0] != centre[0] or row[2] > reach(centre[2]):  # another list, or blocks out of the centre's reach
-                    centre = row
-                elif can(centre, row):
-                    way = ((centre[4] ^ row[4]).bit_count(), centre[1])
-                    if way < found.get(row[1], (1 << 30,)):
-                        found[row[1]] = way
-            if len(found) > 100_000:
-                yield ways_out(found)
-                found = {}
-        yield ways_out(found)
-
-    def ways_out(found):
-        gaps, centres = zip(*found.values()) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(centres, pa.binary()), pa.array(list(found), pa.binary()), pa.array(gaps, pa.int32())], ["a", "b", "gap"])
-
-    def across(batches):
-        """Pairs across components: rows are (tok, set, size, pos, parities, component, centre, distance to it)."""
-        found: set = set()
-        limit = 1 - num / den
-        for rows in by_list(batches):
-            if len({r[5] for r in rows}) < 2:
-                continue
-            first = 0
-            for j, row in enumerate(rows):
-                while reach(rows[first][2]) < row[2]:  # skip the blocks of sizes that do not reach this one
-                    first += 1
-                for i in range(first, j):
-                    other = rows[i]
-                    if other[5] == row[5] or not can(other, row):
-                        continue
-                    if row[6] is not None and other[6] == row[6] and abs(other[7] - row[7]) > limit + 1e-9:
-                        continue
-                    found.add((other[1], row[1]) if other[1] < row[1] else (row[1], other[1]))
-            if len(found) > 100_000:
-                yield pairs_out(found)
-                found = set()
-        yield pairs_out(found)
+    def compared(rows: DataFrame, derived: bool) -> DataFrame:
+        """Pairs (a, b) of the lists tok of rows (tok, set, size, pos, component, centre, apart) that hold several components."""
+        mixed = rows.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("tok", F.ceil(F.col("n") / list_part).cast("int").alias("k"))
+        rows = rows.join(mixed, "tok").join(odd, "set").withColumn("part", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        rows = rows.select("tok", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "size", "pos", "odd", "component", "centre", "apart")
+        return rows.repartition(parts, "tok", "low", "high").sortWithinPartitions("tok", "low", "high").mapInArrow(across(derived), "a binary, b binary")
 
     def sets_of(wanted):
         """Sets of the texts whose digests are wanted (a few others may come too), or of all."""
@@ -309,67 +355,78 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
         return f
 
-    def verify(batches):
-        for b in batches:
-            inter, left, right = [], [], []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
+    def verify(differences: bool):
+        """Sizes and intersection of two sets; what tells the second from the first, the parts that fewest members of a group around the
+        first have in front: a shingle that the first lacks, if rare, or one that it has, if frequent."""
+
+        def f(batches):
+            for b in batches:
+                inter, left, right, told_ = [], [], [], []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    i = int((x[at] == y).sum())
-                else:
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    i = int((y[at] == x).sum())
-                inter.append(i)
-                left.append(len(x))
-                right.append(len(y))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inter, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b", "both", "na", "nb"])
-
-    def near(batches):
-        """Pairs that the counts of large sets do not part: rows are (a, b, size and counts of a, of b)."""
-        for b in batches:
-            ok = []
-            for m, x, n, y in zip(*(c.to_pylist() for c in b.columns[2:])):
-                if x is None or y is None:
-                    ok.append(True)
-                    continue
-                d = np.frombuffer(x, np.uint8) - np.frombuffer(y, np.uint8)
-                ok.append(int(np.minimum(d, -d).sum(dtype=np.int64)) <= m + n - 2 * overlap_needed(m, n, num, den))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = (sketches.select(F.col("set").alias(x), F.col("size").alias(f"{x}_size"), F.col("counts").alias(f"{x}_counts")) for x in "ab")
-        pairs = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_size", "a_counts", "b_size", "b_counts")
-        pairs = common.cut(pairs.mapInArrow(near, "a binary, b binary"))
+                    there = x[at] == y
+                    i = int(there.sum())
+                    inter.append(i)
+                    left.append(len(x))
+                    right.append(len(y))
+                    if differences and len(x) + len(y) - 2 * i <= len(y):
+                        lost = np.ones(len(x), bool)
+                        lost[at[there]] = False
+                        n = 2.0 ** (rank(x) / 8)
+                        d = np.concatenate([y[~there], x[lost]])
+                        told_.append(d[np.lexsort((d, np.concatenate([2.0 ** (rank(y[~there]) / 8), n.max() + 1 - n[lost]])))].tobytes())
+                    else:
+                        told_.append(None)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inter, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(told_, pa.binary())], ["a", "b", "both", "na", "nb", "difference"])
+
+        return f
+
+    def checked(pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """Pairs (a, b) with whether they link and, if asked, b's difference from a."""
+        pairs = common.cut(pairs)
         wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
         if wanted.count() <= broadcast_most:
-            texts = np.sort(np.fromiter((r[0] for r in wanted.join(digests, "set").select("digest").collect()), np.int64))
+            texts = np.sort(common.numbers(sets.join(wanted, "set", "left_semi").select("digest")))
             bodies = src.mapInArrow(sets_of(spark.sparkContext.broadcast(texts)), "set binary, body binary")
         else:
             bodies = src.mapInArrow(sets_of(None), "set binary, body binary").join(wanted, "set", "left_semi")
         bodies = common.cut(bodies.groupBy("set").agg(F.max("body").alias("body")))
         a, b = bodies.select(F.col("set").alias("a"), F.col("body").alias("x")), bodies.select(F.col("set").alias("b"), F.col("body").alias("y"))
-        rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, both long, na long, nb long")
-        distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-        return common.cut(rows.withColumn("linked", den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).withColumn("distance", distance))
+        rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify(differences), "a binary, b binary, both long, na long, nb long, difference binary")
+        return common.cut(rows.withColumn("linked", den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))))
 
-    ways = lists.join(odd, "set").select("tok", "set", "size", "pos", "odd").repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(star, "a binary, b binary, gap int")
-    stars = checked(ways.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("way")).select(F.col("way.a").alias("a"), "b"))
+    def differences(batches):
+        """Index entries of the members of groups: rows are (centre, set, size, component, difference)."""
+        for b in batches:
+            toks, at, places, apart = [], [], [], []
+            for i, (centre, size, d) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 4)))):
+                d = np.frombuffer(d, np.uint64)
+                own = d[: most_apart(size, num, den) + 1]
+                toks.append(mix(own ^ np.uint64(int.from_bytes(centre[:8], "big"))).view(np.int64))
+                at += [i] * len(own)
+                places += range(len(own))
+                apart += [len(d)] * len(own)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)), b.column(1).take(at), b.column(2).take(at), pa.array(places, pa.int32()), b.column(3).take(at), b.column(0).take(at), pa.array(apart, pa.int32())], ["tok", "set", "size", "pos", "component", "centre", "apart"])
+
+    stars = checked(centres(), True)
     links = stars.filter("linked").select("a", "b")
-    first = components(links)
-    nearest = stars.select(F.col("b").alias("set"), F.col("a").alias("centre"), "distance")
-    named = lists.join(first.withColumnRenamed("node", "set"), "set", "left").select("tok", "set", "size", "pos", F.coalesce("root", "set").alias("component"))
-    mixed = named.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("tok")
-    marked = named.join(mixed, "tok", "left_semi").join(odd, "set").join(nearest, "set", "left")
-    marked = marked.select("tok", "set", "size", "pos", "odd", "component", "centre", "distance")
-    more = marked.repartition(parts, "tok").sortWithinPartitions("tok", "size", "set").mapInArrow(across, "a binary, b binary")
-    swapped = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checked(more.distinct().join(swapped, ["a", "b"], "left_anti"))
+    first = common.cut(components(links).select(F.col("node").alias("set"), "root"))
+    component = F.coalesce("root", "set").alias("component")
+    groups = stars.filter("difference is not null").select(F.col("b").alias("set"), F.col("a").alias("centre"), F.col("nb").cast("int").alias("size"), "difference")
+    named = lists.join(first, "set", "left").join(groups.select("set", "centre"), "set", "left").select("tok", "set", "size", "pos", component, "centre", F.lit(0).alias("apart"))
+    # a set whose difference is empty is the centre, and what links by the sum of two differences links with the centre, too
+    members = groups.join(first, "set", "left").select("centre", "set", "size", component, "difference")
+    mixed = members.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre")
+    derived = members.join(mixed, "centre", "left_semi").mapInArrow(differences, "tok long, set binary, size int, pos int, component binary, centre binary, apart int")
+    more = compared(named, False).union(compared(derived, True)).distinct()
+    rest = checked(more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     roots = components(links.union(rest.filter("linked").select("a", "b")))
 
     rows = told.filter("part is null").select("id", "set", "size")
-    sets = rows.filter("set is not null").groupBy("set").agg(F.min("id").alias("least"))
-    rooted = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    classes = rows.filter("set is not null").groupBy("set").agg(F.min("id").alias("least"))
+    rooted = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("set", "component_id")
     out = rows.join(named, "set", "left")
@@ -422,6 +479,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("components have not settled in 64 rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 

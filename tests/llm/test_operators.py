@@ -269,6 +269,39 @@ def test_jaccard_near_copies(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == {i: find(i) for i in range(len(data))}
 
 
+@pytest.mark.parametrize("list_part", [4_000, 300])
+def test_jaccard_large_groups(spark, list_part):
+    """2,000 near copies without their original, at distances on both sides of the limit, and large sets; links by brute force."""
+    from sparkloom.llm.jaccard import jaccard_components
+
+    r = random.Random(11)
+    data = []
+    for size, copies, most in ((100, 2000, 4), (3600, 60, 90)):
+        base = [f"{size}w{i}" for i in range(size)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(r.randrange(1, most)):
+                t[r.randrange(len(t))] = f"v{r.randrange(10**6)}"
+            data.append((len(data), " ".join(t)))
+    sets = near_sets(data, 3)
+    place: dict = {}
+    held = np.zeros((len(data), len(place_all := {x for s in sets for x in s})), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place.setdefault(x, len(place)) for x in s]] = 1
+    assert len(place) == len(place_all)
+    both, sizes = held @ held.T, held.sum(1)
+    linked = 100 * both >= 90 * (sizes[:, None] + sizes[None] - both)
+    label = np.arange(len(data))
+    while True:
+        new = np.where(linked, label[None], len(data)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert len(set(label.tolist())) > 20  # the group does not link as a whole
+    got = jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(4), list_part=list_part)
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(label.tolist()))
+
+
 def test_decontaminate(docs, empty, spark):
     from sparkloom.llm.decontaminate import drop_contaminated, find_contamination, words_of
 
