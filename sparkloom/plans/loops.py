@@ -5,25 +5,38 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of a local master;
+    on a cluster that is an error, as executors would not see it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="sparkloom-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to spark.checkpoint.dir: a loop's plan stays short, and lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 10_000, active: str = "active") -> DataFrame:
-    """Repeats state = step(state) while any row's `active` column is true; one written table and one short action a round."""
+    """Repeats state = step(state) while any row's `active` column is true; one written table and one short action a round.
+    A state that is not stable after `most` rounds raises an error."""
     state = cut(state)
     for _ in range(most):
         if state.filter(active).limit(1).count() == 0:
-            break
+            return state
         state = cut(step(state))
+    if state.filter(active).limit(1).count():
+        raise RuntimeError(f"not stable after {most} rounds")
     return state
 
 
