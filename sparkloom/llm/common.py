@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
@@ -11,24 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loops import cut, shared_dir  # noqa: F401
+
 #: Texts are worked on in blocks of at most this many bytes and rows.
 BLOCK_BYTES, BLOCK_ROWS = 48 << 20, 60_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder: later reads neither recompute them nor depend on live executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,6 +54,43 @@ def blocks(batches, text: str, max_bytes: int = BLOCK_BYTES, max_rows: int = BLO
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words between ASCII white space of all texts, which are UTF-8: (number of each word, ends[row], the distinct words)."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    ends = split.offsets.to_numpy()[1:].astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy(), pc.cast(coded.dictionary, pa.binary()).to_pylist()
+    if b"" in names:  # white space at the ends of a text
+        empty = names.index(b"")
+        there = codes != empty
+        ends = np.concatenate([[0], np.cumsum(there)])[ends]
+        codes = codes[there]
+        codes = codes - (codes > empty)
+        del names[empty]
+    return codes.astype(np.int64), ends, names
+
+
+def owners(ends: np.ndarray) -> np.ndarray:
+    """The row of each of the things that end at ends[row]."""
+    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+
+
+def tally(row: np.ndarray, code: np.ndarray, kinds: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count or sum of weights) of each pair that occurs, by row, then code; codes are below kinds."""
+    key = row * max(kinds, 1) + code
+    if weights is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, weights=weights, minlength=len(key)).astype(np.int64)
+    return key // max(kinds, 1), key % max(kinds, 1), n
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n[i] numbers from start[i] on, for each i in turn."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def numbers(df: DataFrame) -> np.ndarray:
     """The one long column of df on the driver, eight bytes a row: it comes in packed blocks, one or a few a task."""
 

@@ -2,8 +2,8 @@
 
 The library splits a text into pre-tokens before BPE and encodes each on its own, so ids of a text are the
 concatenated ids of its pre-tokens. Chunks between ASCII white space never share a pre-token; a chunk's
-pre-tokens are cached. Texts with special-token strings or characters above U+024F, and those with
-the white space that only Unicode knows, are normalised and split by the library itself.
+pre-tokens are cached. Texts that, once lower-case, hold special-token strings or characters above U+024F, the white space that
+only Unicode knows or the separators that only Python takes for white space are normalised and split by the library itself.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import numpy as np
 
 from . import common
 
-_ODD = re.compile("[\x80-\x9f\xa0İɐ-\U0010ffff]|<\\|(?:startoftext|endoftext)\\|>")
+_ODD = re.compile("[\x1c-\x1f\x80-\x9f\xa0ɐ-\U0010ffff]|<\\|(?:startoftext|endoftext)\\|>")
+_ODD_ASCII = re.compile(rb"[\x1c-\x1f]|<\|(?:startoftext|endoftext)\|>")
 
 
 def _class(kind: str) -> str:
@@ -28,26 +29,26 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
 
 class PreTokens:
-    """path: a tokenizers .json file whose splitter is the pattern above. Caches hold at most `most` entries and are emptied beyond."""
+    """path: a tokenizers .json file whose splitter is the pattern above. Each cache holds at most about `most` entries and is emptied
+    beyond. Chunks and pre-tokens are UTF-8."""
 
     _of: dict[str, "PreTokens"] = common.kept("pre-tokens", {})
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.most = most
-        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.added = {t.content.encode(): i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t.decode()) for t in self.added) + ")") if self.added else None
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
-        self.chunks: dict[bytes, tuple[str, ...]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.joined: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}  # of chunks and pre-tokens
+        self.sizes: dict[bytes, int] = {}  # of pre-tokens: how many ids
 
     @classmethod
     def of(cls, path: str) -> "PreTokens":
@@ -56,86 +57,86 @@ class PreTokens:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def odd(self, text: str) -> bool:
-        return _ODD.search(text) is not None
-
-    def split(self, chunk: bytes) -> tuple[str, ...]:
-        """Pre-tokens of a lower-case chunk without white space."""
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) >= self.most:
-                self.chunks.clear()
-            found = self.chunks[chunk] = tuple(_SPLIT.findall(chunk.decode("utf-8")))
-        return found
-
-    def library_split(self, text: str) -> list[str]:
+    def plain(self, data: bytes) -> bytes | None:
+        """The lower-case text; None for a text that only the library splits."""
+        if data.isascii():
+            data = data.lower()
+            return None if _ODD_ASCII.search(data) else data
+        text = data.decode("utf-8").lower()
+        return None if _ODD.search(text) else text.encode()
+
+    @staticmethod
+    def split(chunk: bytes) -> tuple[bytes, ...]:
+        """Pre-tokens of a lower-case chunk without white space; letters alone, and letters before one mark, need no pattern."""
+        if chunk.isalpha():
+            return (chunk,)
+        text = chunk.decode("utf-8")
+        if text.isalpha():
+            return (chunk,)
+        if text[:-1].isalpha() and not text[-1].isalnum():
+            last = text[-1].encode()
+            return (chunk[: -len(last)], last)
+        return tuple(t.encode() for t in _SPLIT.findall(text))
+
+    def library_split(self, data: bytes) -> list[bytes]:
         """Pre-tokens of any text by the library's own parts; a special-token string is one pre-token."""
         out = []
+        text = data.decode("utf-8")
         for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.added:
-                out.append(part)
+            if part.encode() in self.added:
+                out.append(part.encode())
             elif part:
                 plain = self.tok.normalizer.normalize_str(part)
-                out += [plain[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
+                out += [plain[a:b].encode() for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
-    def learn(self, tokens) -> None:
-        """Ids of all these pre-tokens that are not yet known."""
-        new = [t for t in dict.fromkeys(tokens) if t not in self.ids]
-        if not new:
-            return
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            new = list(dict.fromkeys(tokens))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            plain = [t for t in part if t not in self.added]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(plain) and (not len(at) or at[-1] == len(ids)):
-                data, at = ids.tobytes(), np.concatenate([[0], at * 4]).tolist()
-                self.ids.update(zip(plain, (data[a:b] for a, b in zip(at, at[1:]))))
-            else:  # a pre-token whose pieces do not show where it ends
-                for t in plain:
-                    self.ids[t] = np.asarray(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
-            for t in part:
-                if t in self.added:
-                    self.ids[t] = np.asarray([self.added[t]], np.uint32).tobytes()
-
-    def counts(self, tokens: list[str]) -> np.ndarray:
-        """How many pieces each pre-token has."""
-        out = np.empty(len(tokens), np.int64)
-        for k in range(0, len(tokens), 65536):
-            part = tokens[k : k + 65536]
-            self.learn(part)
-            out[k : k + len(part)] = [len(self.ids[t]) >> 2 for t in part]
-        return out
+    def encoded(self, tokens: list[bytes]):
+        """Yields (pre-tokens, their ids one after the other, where the ids of each end)."""
+        for k in range(0, len(tokens), 4096):
+            plain = [t for t in tokens[k : k + 4096] if t not in self.added]
+            ids = np.asarray(self.tok.encode_batch_fast([b" ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(plain) or (len(ends) and ends[-1] != len(ids)):  # a pre-token whose pieces do not show where it ends
+                each = [np.asarray(self.tok.encode(t.decode("utf-8"), add_special_tokens=False).ids, np.uint32) for t in plain]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            yield plain, ids, ends
+        special = [t for t in tokens if t in self.added]
+        yield special, np.asarray([self.added[t] for t in special], np.uint32), np.arange(1, len(special) + 1)
+
+    def counts(self, tokens: list[bytes]) -> np.ndarray:
+        """How many pieces each pre-token has; ids are not kept."""
+        if len(self.sizes) > self.most:
+            self.sizes.clear()
+        for plain, _, ends in self.encoded([t for t in dict.fromkeys(tokens) if t not in self.sizes]):
+            self.sizes.update(zip(plain, np.diff(ends, prepend=0).tolist()))
+        return np.fromiter(map(self.sizes.__getitem__, tokens), np.int64, len(tokens))
+
+    def learn(self, chunks: list[bytes], split=None) -> list[bytes]:
+        """The ids of each of these distinct chunks."""
+        ids, split = self.ids, split or self.split
+        if len(ids) > self.most:
+            ids.clear()
+        new = [(c, split(c)) for c in chunks if c not in ids]
+        for plain, found, ends in self.encoded([t for t in dict.fromkeys(t for _, ts in new for t in ts) if t not in ids]):
+            data, at = found.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+            ids.update(zip(plain, (data[a:b] for a, b in zip(at, at[1:]))))
+        for c, ts in new:
+            if len(ts) != 1:
+                ids[c] = b"".join([ids[t] for t in ts])
+        return [ids[c] for c in chunks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        odd, rows, unknown = {}, [], set()
-        if len(self.joined) > self.most:
-            self.joined.clear()
-        for i, data in enumerate(texts):
-            text = data.decode("utf-8")
-            if self.odd(text):
-                odd[i] = self.library_split(text)
-                rows.append(None)
-            else:
-                row = text.lower().encode().split()
-                unknown.update(row)
-                rows.append(row)
-        unknown -= self.joined.keys()
-        parts = list(unknown)
-        for k in range(0, len(parts), 65536):
-            some = [(c, tuple(_SPLIT.findall(c.decode("utf-8")))) for c in parts[k : k + 65536]]
-            self.learn([t for _, ts in some for t in ts])
-            ids = self.ids
-            for c, ts in some:
-                self.joined[c] = ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])
-        get = self.joined.__getitem__
-        out = [b"" if row is None else b"".join(map(get, row)) for row in rows]
-        for i, ts in odd.items():
-            self.learn(ts)
-            out[i] = b"".join([self.ids[t] for t in ts])
+        plain = [self.plain(t) for t in texts]
+        codes, ends, names = common.words([p or b"" for p in plain])
+        known = self.learn(names)
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        n = size[codes]
+        data = np.frombuffer(b"".join(known), np.uint32)[common.ranges((np.cumsum(size) - size)[codes], n)].tobytes()
+        at = (4 * np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]).tolist()
+        out = [data[a:b] for a, b in zip(at, at[1:])]
+        for i, p in enumerate(plain):
+            if p is None:
+                tokens = self.library_split(texts[i])
+                out[i] = b"".join(map(dict(zip(tokens, self.learn(tokens, lambda t: (t,)))).__getitem__, tokens))
         return out

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,26 +25,24 @@ class Postings:
 
     def __init__(self):
         self.index: dict[bytes, int] = {}
-        self.term, self.freq, self.lengths = array("I"), array("q"), array("q")
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, counts: dict[bytes, int]) -> None:
-        """The next document's frequencies."""
+    def add(self, names: list[bytes], doc: np.ndarray, term: np.ndarray, freq: np.ndarray) -> None:
+        """Frequencies of further documents; term counts within names, which are distinct."""
         put, index = self.index.setdefault, self.index
-        self.term.extend([put(t, len(index)) for t in counts])
-        self.freq.extend(counts.values())
-        self.lengths.append(len(counts))
+        number = np.fromiter((put(t, len(index)) for t in names), np.int64, len(names))
+        self.parts.append((number[term].astype(np.uint32), doc.astype(np.uint32), freq.astype(np.uint32) if not len(freq) or freq.max() < 1 << 32 else freq))
 
     def write(self, buckets: int):
         """Yields (bucket, payload)."""
-        term, freq = np.asarray(self.term).astype(np.int64), np.asarray(self.freq)
-        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int64), np.asarray(self.lengths))
+        term, doc, freq = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.uint32) for i in range(3))
         terms = list(self.index)
         of = bucket_of(terms, buckets)
-        names = np.lexsort((np.arange(len(terms)), of))  # terms by bucket
+        names = np.argsort(of, kind="stable")  # terms by bucket
         rank = np.empty(len(terms), np.int64)
         rank[names] = np.arange(len(terms))
         order = np.argsort(rank[term], kind="stable")
-        term, doc, freq = rank[term][order], doc[order], freq[order]
+        term, doc, freq = rank[term[order]], doc[order], freq[order]
         df = np.bincount(term, minlength=len(terms))
         ends = np.searchsorted(of[names], np.arange(buckets + 1))
         starts = np.concatenate([[0], np.cumsum(df)])
@@ -58,10 +53,10 @@ class Postings:
                 continue
             p, q = starts[lo], starts[hi]
             text = b"\n".join(terms[i] for i in names[lo:hi].tolist())
-            f = freq[p:q]
+            f = freq[p:q].astype(np.int64)
             small = np.minimum(f, 255).astype(np.uint8)
             head = np.asarray([hi - lo, q - p, len(text), int((f >= 255).sum())], np.int64).tobytes()
-            yield b, press.compress(head + text + df[lo:hi].astype(np.uint32).tobytes() + doc[p:q].astype(np.uint32).tobytes() + small.tobytes() + f[f >= 255].tobytes())
+            yield b, press.compress(head + text + df[lo:hi].astype(np.uint32).tobytes() + doc[p:q].tobytes() + small.tobytes() + f[f >= 255].tobytes())
 
     @staticmethod
     def read(payload: bytes):
@@ -82,8 +77,8 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
     """One row for each row of df: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Each task counts the pre-tokens of its documents and deals compressed postings by pre-token; a task that owns a bucket of
-    pre-tokens counts their pieces once, joins them to the postings and sends back a sum for each document it has seen. Nothing
-    holds ids. Memory: a block of text and one payload. A pre-token of every document takes about a byte for each document.
+    pre-tokens counts their pieces once, joins them to the postings and sends back a sum for each document it has seen. Ids last
+    only while a batch of pre-tokens is counted. Memory: a block of text and one payload. A pre-token of every document takes about a byte for each document.
     Null and empty texts have 0 bytes and tokens; repeated rows and repeated or null ids give a row each; other columns are ignored.
     """
     spark = df.sparkSession
@@ -99,18 +94,23 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
             sizes: list[int] = []
             posts = Postings()
             for part in common.slices(table.to_batches(), "text", 4 << 20):
-                for data in common.binary(part.column(1)):
-                    sizes.append(len(data))
-                    text = data.decode("utf-8")
-                    if tokens.odd(text):
-                        posts.add(Counter(t.encode() for t in tokens.library_split(text)))
-                    else:
-                        c: dict[bytes, int] = {}
-                        for chunk, n in Counter(text.lower().encode().split()).items():
-                            for t in tokens.split(chunk):
-                                t = t.encode()
-                                c[t] = c.get(t, 0) + n
-                        posts.add(c)
+                texts, first = common.binary(part.column(1)), len(sizes)
+                sizes += map(len, texts)
+                plain = [tokens.plain(t) for t in texts]
+                codes, ends, chunks = common.words([p or b"" for p in plain])
+                row, chunk, n = common.tally(common.owners(ends), codes, len(chunks))
+                # from chunks to pre-tokens
+                index: dict[bytes, int] = {}
+                split = [tokens.split(c) for c in chunks]
+                size = np.fromiter(map(len, split), np.int64, len(split))
+                flat = np.fromiter((index.setdefault(t, len(index)) for ts in split for t in ts), np.int64, int(size.sum()))
+                at, each = common.ranges((np.cumsum(size) - size)[chunk], size[chunk]), size[chunk]
+                row, term, n = np.repeat(row, each), flat[at], np.repeat(n, each)
+                odd = [(i, index.setdefault(t, len(index))) for i, p in enumerate(plain) if p is None for t in tokens.library_split(texts[i])]
+                if odd:
+                    row, term, n = np.append(row, [i for i, _ in odd]), np.append(term, [t for _, t in odd]), np.append(n, [1] * len(odd))
+                row, term, n = common.tally(row, term, len(index), n)
+                posts.add(list(index), row + first, term, n)
             rows = list(posts.write(n_buckets))
             yield out(([b for b, _ in rows], [block] * len(rows), [p for _, p in rows], [None] * len(rows), [None] * len(rows)), table["id"].type)
             yield pa.RecordBatch.from_arrays([
@@ -133,7 +133,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
                     sums.append(None)
                     continue
                 terms, df_, doc, freq = Postings.read(payload)
-                n = np.repeat(tokens.counts([t.decode("utf-8") for t in terms]), df_) * freq
+                n = np.repeat(tokens.counts(terms), df_) * freq
                 sums.append(_sparse(doc, n))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.binary()), batch.column(3), batch.column(4)], ["block", "sums", "ids", "sizes"])
 
