@@ -21,44 +21,47 @@ LIST_PART = 4_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """word -> 64-bit hash, remembered for at most a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = common.kept("shingle words", _Words())
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * _MIX
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes, width: int = 3) -> np.ndarray:
-    """The sorted hashes of the distinct runs of `width` words; fewer words are one run, none give no shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x100000001B3) + h[k : k + len(out)])
-    return np.unique(out)
-
+def shingle_sets(texts: list[bytes], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends[row]): for each text the sorted hashes of the distinct runs of `width` words; fewer words are one run, none
+    give no shingle."""
+    import xxhash
 
-def set_id(s: np.ndarray) -> bytes:
-    """16 bytes that tell a set."""
-    a, b = mix(s), mix(s ^ np.uint64(0x5851F42D4C957F2D))
-    return int(a.sum(dtype=np.uint64)).to_bytes(8, "big") + int(b.sum(dtype=np.uint64)).to_bytes(8, "big")
+    codes, ends, names = common.words([t.lower() for t in texts])
+    h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[codes]
+    row = common.owners(ends)
+    many = np.diff(ends, prepend=0)
+    n = np.minimum(many, width)
+    out = n[row].astype(np.uint64)
+    pad = np.concatenate([h, np.zeros(width, np.uint64)])
+    for k in range(width):
+        step = mix(out * np.uint64(0x100000001B3) + pad[k : k + len(h)])
+        out = step if not len(n) or n[many > 0].min(initial=width) > k else np.where(n[row] > k, step, out)
+    keep = np.arange(len(h)) <= (ends - n)[row]
+    out, row = out[keep], row[keep]
+    at = np.cumsum(np.where(many > 0, many - n + 1, 0))
+    for i, j in zip(np.concatenate([[0], at]).tolist(), at.tolist()):
+        out[i:j].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def set_ids(hashes: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """16 bytes that tell each set; None for an empty one."""
+    some = np.flatnonzero(np.diff(ends, prepend=0))
+    out: list[bytes | None] = [None] * len(ends)
+    if len(some):
+        starts = np.concatenate([[0], ends])[some]
+        sums = np.stack([np.add.reduceat(mix(x), starts) for x in (hashes, hashes ^ np.uint64(0x5851F42D4C957F2D))], 1).astype(">u8")
+        for i, x in zip(some.tolist(), sums):
+            out[i] = x.tobytes()
+    return out
 
 
 def most_apart(size: int, num: int, den: int) -> int:
@@ -123,21 +126,21 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     # classes of equal sets
     def identify(batches):
-        common.only("shingle words")
+        common.only("")
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
-            ids, sizes, odd, digests = [], [], [], []
-            for text in common.binary(b.column(1)):
-                s = shingles(text, width)
-                digests.append(digest(text) if len(s) else None)
-                odd.append(parities(s, num, den) if len(s) else None)
-                key = set_id(s) if len(s) else None
-                ids.append(key)
-                sizes.append(len(s))
-                if key is not None and key not in seen and len(seen) < 2_000_000:
-                    seen.add(key)
-                    np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
+            texts = common.binary(b.column(1))
+            hashes, ends = shingle_sets(texts, width)
+            ids, sizes = set_ids(hashes, ends), np.diff(ends, prepend=0)
+            odd, digests = [None] * len(ids), [None] * len(ids)
+            for i, key in enumerate(ids):
+                if key is not None:
+                    s = hashes[ends[i] - sizes[i] : ends[i]]
+                    odd[i], digests[i] = parities(s, num, den), digest(texts[i])
+                    if key not in seen and len(seen) < 2_000_000:
+                        seen.add(key)
+                        np.add.at(sketch, (s >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(odd, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64())], names)
         if sketch.any():
             cut = [common.pack(x) for x in np.split(sketch, 32)]
@@ -175,21 +178,20 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     # index entries: the first shingles of each distinct set of a task
     def prefixes(batches):
-        common.only("shingle words")
         sent: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):
             toks, sets, sizes, places = [], [], [], []
-            for text in common.binary(b.column(1)):
-                s = shingles(text, width)
-                if not len(s):
-                    continue
-                key = set_id(s)
-                if key in sent:
+            hashes, ends = shingle_sets(common.binary(b.column(1)), width)
+            begins = np.concatenate([[0], ends])
+            order = rank(hashes)
+            for i, key in enumerate(set_ids(hashes, ends)):
+                if key is None or key in sent:
                     continue
                 if len(sent) < 2_000_000:
                     sent.add(key)
+                s = hashes[begins[i] : ends[i]]
                 n = len(s) - (-(-num * len(s) // den)) + 1
-                toks.append(s[np.lexsort((s, rank(s)))][:n].view(np.int64))
+                toks.append(s[np.argsort(order[begins[i] : ends[i]], kind="stable")[:n]].view(np.int64))
                 sets += [key] * n
                 sizes += [len(s)] * n
                 places += range(n)
@@ -333,24 +335,22 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
         """Sets of the texts whose digests are wanted (a few others may come too), or of all."""
 
         def f(batches):
-            common.only("shingle words")
             sent: set[bytes] = set()
             for b in common.slices(batches, "text", 8 << 20):
                 keys, bodies = [], []
                 texts = common.binary(b.column(1))
-                if wanted is not None and len(wanted.value):
+                if wanted is not None:
                     own = np.fromiter(map(digest, texts), np.uint64, len(texts)).view(np.int64)
-                    at = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
-                    texts = [texts[i] for i in np.flatnonzero(wanted.value[at] == own)]
-                for text in texts if wanted is None or len(wanted.value) else []:
-                    s = shingles(text, width)
-                    if len(s):
-                        key = set_id(s)
-                        if key not in sent:
-                            if len(sent) < 2_000_000:
-                                sent.add(key)
-                            keys.append(key)
-                            bodies.append(s.tobytes())
+                    at = np.minimum(np.searchsorted(wanted.value, own), max(len(wanted.value) - 1, 0))
+                    texts = [texts[i] for i in np.flatnonzero(wanted.value[at] == own)] if len(wanted.value) else []
+                hashes, ends = shingle_sets(texts, width)
+                begins = np.concatenate([[0], ends])
+                for i, key in enumerate(set_ids(hashes, ends)):
+                    if key is not None and key not in sent:
+                        if len(sent) < 2_000_000:
+                            sent.add(key)
+                        keys.append(key)
+                        bodies.append(hashes[begins[i] : ends[i]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["set", "body"])
 
         return f
