@@ -32,11 +32,13 @@ class CountingQuotientFilter:
     def build(cls, prints: np.ndarray, counts: np.ndarray | None = None) -> "CountingQuotientFilter":
         prints = prints.astype(np.uint64)
         order = np.argsort(prints, kind="stable")
-        prints = prints[order]
+        return cls.sorted(prints[order], np.ones(len(prints), np.int64) if counts is None else counts[order])
+
+    @classmethod
+    def sorted(cls, prints: np.ndarray, counts: np.ndarray) -> "CountingQuotientFilter":
         new = np.concatenate([[True], prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        each = np.ones(len(prints), np.int64) if counts is None else counts[order]
-        total = np.add.reduceat(each, at) if len(at) else np.zeros(0, np.int64)
+        total = np.add.reduceat(counts, at) if len(at) else np.zeros(0, np.int64)
         prints = prints[at]
         quotients, runs = np.unique(prints >> np.uint64(64 - QUOTIENT_BITS), return_counts=True)
         return cls(quotients.astype(np.uint32), runs.astype(np.uint32), prints & np.uint64((1 << (64 - QUOTIENT_BITS)) - 1), total)
@@ -45,11 +47,14 @@ class CountingQuotientFilter:
         return (np.repeat(self.quotients, self.runs).astype(np.uint64) << np.uint64(64 - QUOTIENT_BITS)) | self.remainders
 
     def merge(self, other: "CountingQuotientFilter") -> "CountingQuotientFilter":
-        """The filter of both inputs: runs of a quotient are merged by their sorted remainders, equal ones add their counts."""
+        """The filter of both inputs: sorted runs are merged, nothing is sorted again, and equal remainders add their counts."""
         a, b = self.prints(), other.prints()
-        at = np.searchsorted(a, b)
-        prints, counts = np.insert(a, at, b), np.insert(self.counts, at, other.counts)
-        return CountingQuotientFilter.build(prints, counts)
+        at = np.searchsorted(a, b) + np.arange(len(b))
+        mine = np.ones(len(a) + len(b), bool)
+        mine[at] = False
+        prints, counts = np.empty(len(mine), np.uint64), np.empty(len(mine), np.int64)
+        prints[at], prints[mine], counts[at], counts[mine] = b, a, other.counts, self.counts
+        return CountingQuotientFilter.sorted(prints, counts)
 
     def split(self, parts: int):
         """(part, filter) for ranges of quotients."""
@@ -72,12 +77,18 @@ class CountingQuotientFilter:
         return cls(np.frombuffer(data, np.uint32, q, 16), np.frombuffer(data, np.uint32, q, 16 + 4 * q), np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.int64, n, at + 8 * n))
 
 
+def whole(data: bytes) -> int:
+    """Spark's xxhash64 of the text."""
+    return xxhash.xxh64_intdigest(data, 42)
+
+
 def fingerprint(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data)
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, broadcast_most: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """One row for each row of df: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, broadcast_most: int = BROADCAST_FINGERPRINTS, with_row: bool = False) -> DataFrame:
+    """One row for each row of df: id, keep_id, group_size, kept, text_sha256 and, if asked, whole (a hash of the text as it is) and row
+    (a number in the order of the input).
 
     Texts are equal when their bytes are, blanks deleted; null counts as empty. Of equal ones the row with the most code points
     stays, then that with the smallest id (a null id last), then the first of repeated rows, so one row of each group is kept.
@@ -98,10 +109,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             plain = [t.translate(None, BLANKS) for t in texts]
             prints = np.fromiter(map(fingerprint, plain), np.uint64, len(plain)).view(np.int64)
             chars = [len(t.decode("utf-8")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + len(plain))), pa.array(prints), pa.array([hashlib.sha256(t).digest() for t in plain], pa.binary()), pa.array(chars, pa.int64())], ["id", "row", "print", "sha", "chars"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + len(plain))), pa.array(prints), pa.array([hashlib.sha256(t).digest() for t in plain], pa.binary()), pa.array(chars, pa.int64()), pa.array(np.fromiter(map(whole, texts), np.uint64, len(texts)).view(np.int64))], ["id", "row", "print", "sha", "chars", "whole"])
             row += len(plain)
 
-    digested = common.cut(src.mapInArrow(digest, T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("chars", T.LongType())])))
+    digested = common.cut(src.mapInArrow(digest, T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("chars", T.LongType()), T.StructField("whole", T.LongType())])))
 
     def filters(batches):
         found = [b.column(0).to_numpy().view(np.uint64) for b in batches]
@@ -110,21 +121,25 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["part", "filter"])
 
     def repeated(batches):
-        """Merges the filters of a range of quotients one by one; ranges come one after the other."""
-        at, held = None, None
+        """Merges the filters of a range of quotients, like with like in size, so that each remainder is moved a few times only; ranges
+        come one after the other."""
+        at, held = None, []
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                one = CountingQuotientFilter.load(data)
-                if part != at:
-                    if held is not None:
-                        yield twice(held)
-                    at, held = part, one
-                else:
-                    held = held.merge(one)
-        if held is not None:
+                if part != at and held:
+                    yield twice(held)
+                    held = []
+                at = part
+                held.append(CountingQuotientFilter.load(data))
+                while len(held) > 1 and len(held[-2].counts) < 2 * len(held[-1].counts):
+                    held.append(held.pop().merge(held.pop()))
+        if held:
             yield twice(held)
 
-    def twice(f):
+    def twice(held):
+        f = held[-1]
+        for other in held[-2::-1]:
+            f = f.merge(other)
         return pa.RecordBatch.from_arrays([pa.array(f.prints()[f.counts > 1].view(np.int64))], ["print"])
 
     again = common.cut(digested.select("print").mapInArrow(filters, "part int, filter binary").repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(repeated, "print long"))
@@ -162,7 +177,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = "print long, sha binary, plain binary"
     if n_again <= broadcast_most:
-        wanted = spark.sparkContext.broadcast(np.sort(np.asarray([r[0] for r in again.collect()], np.int64)))
+        wanted = spark.sparkContext.broadcast(np.sort(common.numbers(again)))
         texts = src.mapInArrow(texts_of(wanted), kind)
     else:
         texts = src.mapInArrow(texts_of(None), kind).join(again, "print", "left_semi")
@@ -174,26 +189,26 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         digested.join(again, "print", "left_semi").groupBy("print", "sha").agg(F.count("*").alias("group_size"), best.alias("best"))
         .join(verified, ["print", "sha"]).filter("ok").select("print", "sha", "group_size", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"))
     )
+    extra = ["whole", "row"] if with_row else []
     return digested.join(groups, ["print", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *extra,
     )
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_groups does not keep; all columns stay as they are."""
-    found = common.cut(exact_groups(df, id_col, text_col))
-    per_id = found.groupBy(id_col).agg(F.count("*").alias("n"), F.max("kept").alias("any"))
-    repeated = per_id.filter(F.col("n") > 1).limit(1).count()
-    if not repeated:
-        gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-        return df.join(gone, df[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    # ids repeat: rows are told apart by their text, and repeated rows of one id and text are one
-    plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    keep = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-    marked = df.withColumn("__sha", F.sha2(plain, 256))
-    stay = marked.join(keep, marked[id_col].eqNullSafe(keep["__id"]) & (F.col("__sha") == F.col("__kept")), "left_semi")
-    return stay.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    """df without the rows that exact_groups does not keep; all columns stay as they are.
+
+    A row is told by its id (null equals null) and its text as it is. Rows that repeat both are one: of those that stay one stays,
+    and they differ in other columns at most."""
+    found = exact_groups(df, id_col, text_col, with_row=True)
+    keep = found.groupBy(F.col(id_col).alias("__id"), F.col("whole").alias("__whole")).agg(F.max("kept").alias("__kept"), (F.count("*") > 1).alias("__again")).filter("__kept").drop("__kept")
+    mine = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = df.withColumn("__mine", mine)
+    stay = marked.join(common.cut(keep), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__whole")))
+    once = stay.filter(~F.col("__again"))
+    return once.unionByName(stay.filter("__again").dropDuplicates(["__id", "__whole"])).select(*df.columns)
