@@ -115,8 +115,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")  # documents with more than t words
-    back = np.empty((n, k), np.uint8)
-    own = np.arange(k, dtype=np.uint8)
+    kind = np.uint8 if k <= 1 << 8 else np.uint16 if k <= 1 << 16 else np.uint32
+    back = np.empty((n, k), kind)
+    own = np.arange(k, dtype=kind)
     v = np.zeros((len(lengths), k), np.float32)
     final = np.zeros(len(lengths), np.int64)
     for t in range(len(live)):
@@ -126,10 +127,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         best = now.argmax(1)
         top = now[np.arange(m), best][:, None] - penalty
         stay = now >= top
-        back[at] = np.where(stay, own, best[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, best[:, None].astype(kind))
         np.maximum(now, top, out=now)
         now += scores[at]
-    labels = np.empty(n, np.uint8)
+    labels = np.empty(n, kind)
     final = v.argmax(1)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
@@ -139,16 +140,18 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 20_000, bits: int = 18) -> Model:
-    """A model of the labelled rows of df. At most about `sample` of them are used, chosen by a hash of the text; their whole
-    texts count. The counts have a fixed size: 2**bits grams by languages. Rows without language or text teach nothing."""
-    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 10_000, bits: int = 18, id_col: str = "doc_id") -> Model:
+    """A model of the labelled rows of df. Of each language's rows at most about `sample` are used, all of a rarer one, chosen by a
+    hash of text and id (if df has one); their whole texts count. The counts have a fixed size: 2**bits grams by languages. Rows
+    without language or text teach nothing."""
+    chance = F.pmod(F.xxhash64(F.col(text_col).cast("string"), *[F.col(c) for c in df.columns if c == id_col]), F.lit(1 << 20))
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), chance.alias("chance")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model(["und"], np.zeros((1 << bits, 1)), np.zeros((len(_NAMES), 1)), bits)
-    share = min(1.0, sample / sum(sizes.values()))
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
+    shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * (1 << 20)) or 1))])
+    some = rows.filter(F.col("chance") < F.element_at(shares, F.col("lang"))).select("text", "lang")
 
     def count(batches):
         common.only("")
@@ -170,11 +173,20 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
         for k in range(len(langs)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([common.pack(np.concatenate([total[:, k], scripts[:, k]]))], pa.binary())], ["k", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(common.unpack(x, np.float64) for x in table["counts"].to_pylist())
-        return pa.table({"k": table["k"].slice(0, 1), "counts": pa.array([common.pack(total)], pa.binary())})
-
-    got = some.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").collect()
+    def add(batches):
+        """Sums by language, one table in memory at a time; a language's tables come one after the other."""
+        at, total = None, None
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != at and at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack(total)], pa.binary())], ["k", "counts"])
+                one = common.unpack(data, np.float64)
+                at, total = k, one.copy() if k != at else total + one
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([common.pack(total)], pa.binary())], ["k", "counts"])
+
+    kind = "k int, counts binary"
+    got = some.mapInArrow(count, kind).repartition(min(len(langs), common.shuffle_partitions(df.sparkSession)), "k").sortWithinPartitions("k").mapInArrow(add, kind).collect()
     counts = np.zeros((1 << bits, len(langs)))
     scripts = np.zeros((len(_NAMES), len(langs)))
     for r in got:
@@ -207,6 +219,7 @@ def identify(df: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "
             words = [w for r in rows for w in r]
             at = m.scores(words)
             labels = viterbi(m.table[at], lengths, penalty) if words else np.zeros(0, np.uint8)
+            labels = labels.astype(np.int64)
             size = np.fromiter(map(len, words), np.float64, len(words))
             lettered = np.ones(len(words), bool)
             for i in [i for i, w in enumerate(words) if w[0] > 127]:
