@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.loops import global_scan
 from . import common
 
 
@@ -58,19 +59,31 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
 
 
 def number_of(column: Column, kind: T.DataType) -> Column:
-    """A number in the column's order: strings by their first 7 bytes, the rest as double. Null comes first, as -1."""
+    """What a dimension is quantised by: whole strings and bytes as they are, the rest as double."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(column.cast("double"), F.lit(-1.0))
+        return column
+    return (F.unix_date(column) if isinstance(kind, T.DateType) else column).cast("double")
+
+
+def edges_of(base: DataFrame, column: str, cells: int) -> list:
+    """At most cells - 1 values that cut the column's rows into runs of about equal weight, over all rows: exact for strings and bytes, by
+    running sums of the distinct values' counts, and by approximate quantiles for numbers. Nulls weigh nothing."""
+    if dict(base.dtypes)[column] not in ("string", "binary"):
+        shares = [k / cells for k in range(1, cells)]
+        return sorted(set(base.agg(F.percentile_approx(column, shares, 10_000)).first()[0] or []))
+    counts = base.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    upto = common.cut(global_scan(counts, F.col("n"), [column], "upto"))
+    total = upto.agg(F.max("upto")).first()[0] or 1
+    step = lambda x: F.floor(x * cells / total)
+    cuts = upto.filter((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (F.col("upto") - F.col("n") > 0))
+    return sorted(r[0] for r in cuts.select(column).collect())  # one for each of the cells at most
 
 
 def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int, keep: Sequence[Column], ties: Sequence[str], bits: int = 5) -> DataFrame:
     """The `keep` columns with curve (long), shard (int) and slot (long): rows in curve order, cut into `shards` runs whose
     counts differ by at most one. An empty df gives no rows.
 
-    Each of `dims` is cut into 2**bits cells of about equal weight by approximate quantiles, one row of bounded size; nulls are
-    the lowest value. Rows of a cell are ordered by the `ties` columns of the output. The order is a range-partitioned sort on
+    Each of `dims` is cut into 2**bits cells of about equal weight by its values' order; nulls share the lowest cell. Rows of a cell are ordered by the `ties` columns of the output. The order is a range-partitioned sort on
     curve and ties, so a cell or group of equal rows of any size spreads over partitions; a row's rank is its place in the
     partition after the counts of the partitions before. No window or sort sees more than a partition.
     """
@@ -79,13 +92,10 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int, keep: Sequen
     base = df.select(*keep, *[number_of(F.col(d), kinds[d]).alias(f"__{i}") for i, d in enumerate(dims)])
     base = common.cut(base)
     cells = 1 << bits
-    shares = [k / cells for k in range(1, cells)]
-    bounds = base.agg(*[F.percentile_approx(f"__{i}", shares, 10_000).alias(f"b{i}") for i in range(len(dims))]).first()
     cell = []
     for i in range(len(dims)):
-        edges = sorted(set(bounds[i] or []))
-        value = F.col(f"__{i}")
-        cell.append(F.array_size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda edge: edge <= value)) if edges else F.lit(0))
+        edges, value = edges_of(base, f"__{i}", cells), F.col(f"__{i}")
+        cell.append(F.when(value.isNull(), 0).otherwise(F.array_size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda edge: edge <= value))) if edges else F.lit(0))
     out = [c for c in base.columns if not c.startswith("__")]
     placed = base.select(*out, hilbert_index(cell, bits).alias("curve"))
     n = common.shuffle_partitions(spark)
@@ -107,11 +117,11 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int, keep: Sequen
     return ranked.withColumn("shard", shard.cast("int")).select(*out, "curve", "shard", (F.col("__rank") - first).cast("long").alias("slot"))
 
 
-def write_shards(df: DataFrame, sharded: DataFrame, key: str, dims: Sequence[str], path: str) -> DataFrame:
-    """Writes df's rows, joined to their shard by `key`, as one folder a shard in curve order, and returns the zone map: shard,
-    rows, and the least and greatest value of each of dims. A row whose key is null or not in `sharded` is written to shard null."""
-    place = sharded.select(F.col(key).alias("__key"), "shard", "curve")
-    joined = df.join(place, df[key] == place["__key"], "left").drop("__key")
-    joined.repartitionByRange("shard", "curve").sortWithinPartitions("shard", "curve").drop("curve").write.mode("overwrite").partitionBy("shard").parquet(path)
-    back = df.sparkSession.read.parquet(path)
+def write_shards(sharded: DataFrame, dims: Sequence[str], path: str) -> DataFrame:
+    """Writes the rows of hilbert_shards, whose `keep` holds all that is to be written, as one folder a shard in the order of their
+    slots, and returns the zone map: shard, rows, and the least and greatest value of each of dims. A reader of a range of values
+    needs the shards whose zones meet it."""
+    n = common.shuffle_partitions(sharded.sparkSession)
+    sharded.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    back = sharded.sparkSession.read.parquet(path)
     return back.groupBy("shard").agg(F.count("*").alias("rows"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)])
