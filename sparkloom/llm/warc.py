@@ -6,12 +6,14 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.loops import global_scan
 from . import common
 
 #: Fixed value: the date of every record, so that the same rows give the same bytes.
@@ -50,7 +52,7 @@ def gzip_member(data: bytes) -> bytes:
 
 
 class Roller:
-    """Writes gzip members to numbered files of a task: each under a temporary name of this attempt, renamed when it is whole."""
+    """Writes gzip members to numbered files of a run: each under a temporary name of this attempt, renamed when it is whole."""
 
     def __init__(self, uri: str, part: int, attempt: int, most: int):
         from pyarrow import fs
@@ -78,14 +80,17 @@ class Roller:
         return (self.name, self.records, self.size, self.sha.hexdigest(), self.first, self.last)
 
 
-def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 64 << 20, least: int = 0) -> DataFrame:
+def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 64 << 20, least: int = 0, run_bytes: int = 32 << 20, most_runs: int = 100_000) -> DataFrame:
     """Writes a record for each row under uri, a folder that all executors reach, and returns the manifest that commits them.
 
-    Rows are range-sorted by (id, url, digest); each task rolls its files by compressed size. Of rows with equal payloads of at
+    Rows are range-sorted by (id, url, digest) and cut into runs of about `run_bytes` of payload, but at most most_runs runs, where
+    the running sum of their sizes says so: the rows alone decide, not a sample or a partitioning. A task writes whole runs and
+    rolls the files of each by compressed size, so the same rows give the same files. Of rows with equal payloads of at
     least `least` bytes, the first in that order (smallest id, nulls last) is the response and the others revisit it; equal means
     the same SHA-256. Null html is an empty payload, null ids and urls get no header, repeated rows revisit the first of them.
-    Who is first is found on digests alone; the decisions meet their rows in the sort, so payloads are shuffled once and a
-    payload of a third of all rows is no group anywhere. An empty df commits an empty manifest.
+    Who is first is found on digests alone, and only digests that repeat are joined to it (a join that adaptive execution can split);
+    the decisions meet their rows in the sort, so payloads are shuffled once. The first key of each run is broadcast. An empty df
+    commits an empty manifest.
     """
     from pyarrow import fs
 
@@ -95,23 +100,42 @@ def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str =
     id_type = df.schema[id_col].dataType
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.sha2(html, 256).alias("sha"), html.alias("html"))
-    keys = common.cut(rows.filter(F.octet_length("html") >= least).select("id", "url", "sha").distinct())
+    z = F.col("id").isNull().alias("z")
+    keys = common.cut(rows.groupBy(z, "id", "url", "sha").agg((F.count("*") * (F.first(F.octet_length("html")) + 1)).alias("bytes"), F.first(F.octet_length("html") >= least).alias("long")))
+    scanned = global_scan(keys, F.col("bytes"), ["z", "id", "url", "sha"], "before", inclusive=False)
+    wide = max(run_bytes, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // most_runs))
+    run = lambda x: F.floor(x / wide)
+    firsts = scanned.filter((run(F.col("before")) < run(F.col("before") + F.col("bytes"))) | (F.col("before") == 0)).select("z", "id", "url", "sha").collect()
+    key = lambda i, u, sha: (i is None, i if i is not None else 0, u is not None, u or "", sha)
+    begins = spark.sparkContext.broadcast(sorted(key(r["id"], r["url"], r["sha"]) for r in firsts)[1:])
+    keys = keys.filter("long").select("id", "url", "sha")
     order = lambda: F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("url").alias("url"))
-    first = keys.groupBy("sha").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
-    decided = keys.join(first, "sha").select("id", "url", "sha", F.lit(None).cast("binary").alias("html"), F.lit(0).alias("kind"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = keys.groupBy("sha").agg(F.min(order()).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    decided = keys.join(first, "sha", "left").withColumn("first", F.coalesce("first", order())).select("id", "url", "sha", F.lit(None).cast("binary").alias("html"), F.lit(0).alias("kind"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
     none = [F.lit(1).alias("kind"), F.lit(None).cast(id_type).alias("first_id"), F.lit(None).cast("string").alias("first_url")]
     both = decided.unionByName(rows.select("id", "url", "sha", "html", *none))
-    z = F.col("id").isNull()
-    both = both.withColumn("z", z).repartitionByRange(common.shuffle_partitions(spark), "z", "id", "url", "sha").sortWithinPartitions("z", "id", "url", "sha", "kind").drop("z")
+
+    def numbered(batches):
+        """Rows with the number of their run."""
+        for b in batches:
+            runs = [bisect_right(begins.value, key(*k)) for k in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), *b.columns], ["run", *b.schema.names])
+
+    both = both.mapInArrow(numbered, T.StructType([T.StructField("run", T.IntegerType()), *both.schema.fields]))
+    tasks = max(1, min(len(firsts), 4 * common.shuffle_partitions(spark)))
+    both = both.repartition(tasks, "run").sortWithinPartitions("run", F.col("id").isNull(), "id", "url", "sha", "kind")
 
     def write(batches):
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        roll = Roller(uri, task.partitionId(), task.taskAttemptId(), roll_bytes)
+        attempt, roll = TaskContext.get().taskAttemptId(), None
         at, decision, same, done = None, None, 0, []
         for b in common.slices(batches, "html", 8 << 20):
-            for page, url, sha, html_, kind, f_id, f_url in zip(*[c.to_pylist() for c in b.columns]):
+            for run_, page, url, sha, html_, kind, f_id, f_url in zip(*[c.to_pylist() for c in b.columns]):
+                if roll is None or run_ != roll.part:
+                    if roll is not None and roll.out is not None:
+                        done.append(roll.close())
+                    roll = Roller(uri, run_, attempt, roll_bytes)
                 if (page, url, sha) != at:
                     at, decision, same = (page, url, sha), None, 0
                 if kind == 0:
@@ -122,7 +146,7 @@ def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str =
                 member = gzip_member(record(text(page), url, html_, refers and (text(refers[0]), refers[1]), same))
                 done += roll.add(member, text(page))
                 same += 1
-        if roll.out is not None:
+        if roll is not None and roll.out is not None:
             done.append(roll.close())
         yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema=arrow)
 
