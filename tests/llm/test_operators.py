@@ -7,11 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from sparkloom.llm import common
 from sparkloom.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, id int"
@@ -63,6 +61,22 @@ def test_token_counts(docs, empty):
     assert count_tokens(empty, vocabulary()).count() == 0
 
 
+def test_pretokens_of_every_code_point():
+    """Ids of every code point alone, in a word, beside a digit and an apostrophe, and of random strings, as the library gives them."""
+    from sparkloom.llm.pretokens import PreTokens
+
+    tokens = PreTokens.of(vocabulary())
+    forms = lambda c: [c, f"ab{c}cd 1{c}'s x {c} y"]
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts_ = [f for c in points[:0x600] for f in forms(c)] + ["\n".join(f for c in points[k : k + 40] for f in forms(c)) for k in range(0x600, len(points), 40)]
+    r = random.Random(1)
+    texts_ += ["".join(chr(r.choice((r.randrange(1, 0x80), r.randrange(1, 0x250), r.randrange(1, 0x3000)))) for _ in range(r.randrange(1, 12))) for _ in range(20_000)]
+    texts_ += ["<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", ""]
+    got = tokens.encode([t.encode() for t in texts_])
+    want = tokens.tok.encode_batch_fast(texts_, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts_, got, want) if np.frombuffer(g, np.uint32).tolist() != w.ids] == []
+
+
 def test_packing(docs, empty):
     from sparkloom.llm.packing import pack_documents, plan
 
@@ -111,6 +125,9 @@ def test_exact_dedup(docs, empty, spark):
     assert kept.columns == docs.columns and kept.count() == len(groups)
     unique = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_copies(unique).collect()) == [1, 3, 4]
+    odd = [(1, "a b", 1), (1, "ab", 2), (2, "a  b", 3), (None, "x", 4), (None, "x", 5), (None, None, 6), (3, "", 7)]
+    stay = drop_copies(spark.createDataFrame(odd, "doc_id long, text string, n int")).collect()
+    assert Counter((r.doc_id, r.text) for r in stay) == Counter([(2, "a  b"), (None, "x"), (3, "")])
     random_ = np.random.default_rng(1).integers(0, 50, 1000).astype(np.uint64) << np.uint64(57)
     a, b = CountingQuotientFilter.build(random_[:400]), CountingQuotientFilter.build(random_[400:])
     m = CountingQuotientFilter.load(a.merge(b).dump())
@@ -136,6 +153,13 @@ def test_language_id(docs, empty, spark):
     assert [(s.start, s.end, s.lang) for s in by[3].spans] == [(0, 30, "en"), (30, 90, "de")]
     assert 0.5 < by[3].score < 0.9
     assert identify(empty, model).count() == 0 and identify(docs, train(empty)).count() == len(rows())
+    # more languages than a byte tells
+    many = np.zeros((4, 300), np.float32)
+    many[:, 290] = 5
+    assert viterbi(many, np.asarray([4]), 1.0).tolist() == [290] * 4
+    # a rare language is learned whole, however small the sample of the others
+    few = train(spark.createDataFrame([*[(i, make(en, 30), "en") for i in range(200)], (900, make(de, 40), "de")], "doc_id long, text string, lang string"), sample=20)
+    assert [r.lang_pred for r in identify(ask, few).filter("doc_id = 2").collect()] == ["de"]
     # against all paths
     rng = np.random.default_rng(2)
     s = rng.normal(size=(7, 3)).astype(np.float32)
@@ -167,6 +191,47 @@ def test_sharding(docs, empty, spark):
     assert hilbert_shards(empty, ["lang", "n_chars"], 3, [F.col("doc_id")], ["doc_id"]).count() == 0
 
 
+def test_sharding_cells_and_files(spark, tmp_path):
+    """Strings with a common start and negative numbers are told apart, and the written shards' zones let a reader skip most."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.sharding import edges_of, hilbert_shards, write_shards
+
+    r = random.Random(4)
+    data = [(i % 900, f"https://example.org/{r.randrange(40):02d}", float(r.randrange(-500, 500)) if i % 50 else None) for i in range(1000)]
+    df = spark.createDataFrame(data, "doc_id long, url string, score double").repartition(3)
+    assert len(edges_of(df, "url", 32)) >= 25 and edges_of(df.filter("url is null"), "url", 32) == []
+    sharded = hilbert_shards(df, ["url", "score"], 16, [F.col(c) for c in df.columns], ["doc_id", "url", "score"])
+    zones = write_shards(sharded, ["url", "score"], f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter((x.doc_id, x.url, x.score) for x in back.collect()) == Counter(data)
+    z = zones.collect()
+    assert sum(x.rows for x in z) == 1000 and len(z) == 16
+    for column, low, high in (("url", "https://example.org/00", "https://example.org/04"), ("score", -500.0, -400.0)):
+        needed = [x for x in z if x[f"min_{column}"] is not None and x[f"min_{column}"] <= high and x[f"max_{column}"] >= low]
+        assert 0 < len(needed) <= 8
+        held = {x.shard for x in back.filter(F.col(column).between(low, high)).collect()}
+        assert held <= {x.shard for x in needed}
+    for x in (tmp_path / "shards").glob("shard=*/*.parquet"):
+        slots = pq.read_table(x, columns=["slot"])["slot"].to_pylist()
+        assert slots == sorted(slots)
+
+
+def test_warc_same_rows_same_files(spark, tmp_path):
+    """Files depend on the rows alone: not on the input's partitions, nor on those of shuffles."""
+    from sparkloom.llm.warc import write_warc
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = []
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    for i, (parts, shuffle) in enumerate(((1, n), (5, n), (3, "13"))):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        manifest = write_warc(pages.repartition(parts), f"file://{tmp_path}/{i}", roll_bytes=20_000, run_bytes=100_000)
+        found.append(sorted((r.file, r.records, r.sha1) for r in manifest.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert found[0] == found[1] == found[2] and len({f.split("-")[1] for f, _, _ in found[0]}) > 1
+
+
 def test_warc(spark, tmp_path):
     from pyspark.sql import types as T
 
@@ -434,9 +499,3 @@ def _batches(df):
 
     rows_ = sorted(df.collect(), key=lambda r: (r.row, r.kind))
     yield pa.RecordBatch.from_pylist([r.asDict() for r in rows_], pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())]))
-
-
-def test_helpers(spark, docs):
-    assert common.shared_dir(spark)
-    assert common.cut(docs).count() == docs.count()
-    assert pq and public_tokenizers
