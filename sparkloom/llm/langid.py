@@ -26,10 +26,15 @@ _STARTS = [a for a, _, _ in SCRIPTS]
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def plain_words(text: bytes) -> bytes:
+    """The text in lower case, with blanks for the ASCII characters that are no letters."""
+    text = text.translate(_TABLE)
+    return text if text.isascii() else text.decode("utf-8").lower().encode()
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-case words: runs of ASCII letters and other characters above ASCII."""
-    text = text.translate(_TABLE)
-    return (text if text.isascii() else text.decode("utf-8").lower().encode()).split()
+    return plain_words(text).split()
 
 
 def script_of(word: bytes) -> int:

@@ -91,8 +91,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(~held_out("doc_id", 4, 2)))
-    found = score_toxicity(docs, model)
-    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+    found = score_toxicity(docs, model, evidence=True)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", F.to_json(F.slice("evidence", 1, 3)).alias("evidence"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

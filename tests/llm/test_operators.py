@@ -396,17 +396,29 @@ def test_decontaminate(docs, empty, spark):
 
 
 def test_toxicity(docs, empty, spark):
-    from sparkloom.llm.toxicity import BlockMaxIndex, fit, score_toxicity, unit
+    from sparkloom.llm.toxicity import PRIOR_VOTE, BlockMaxIndex, fit, logit, score_toxicity, stems_of, unit
 
     r = random.Random(1)
-    idf = np.ones(60) * 2
-    vectors = [unit({r.randrange(60): r.randrange(1, 4) for _ in range(r.randrange(1, 12))}, idf) for _ in range(700)]
-    index = BlockMaxIndex(vectors, width=16)
-    for _ in range(40):
-        q = unit({r.randrange(60): r.randrange(1, 4) for _ in range(r.randrange(1, 12))}, idf)
-        want = sorted(((sum(q[t] * v.get(t, 0) for t in q), -i) for i, v in enumerate(vectors)), reverse=True)[:9]
-        assert np.allclose([s for s, _ in index.nearest(q, 9)], [s for s, _ in want if s > 0])
-    words = [f"w{i}" for i in range(300)]
+
+    def vectors(n):
+        """(row, term, weight) of n unit vectors over 60 terms, of which the first are frequent, and the same as a matrix."""
+        dense = np.zeros((n, 60))
+        for x in dense:
+            for _ in range(r.randrange(0, 12)):
+                x[min(int(r.expovariate(0.1)), 59)] = r.randrange(1, 4)
+        row, term = np.nonzero(dense)
+        w = unit(row, term, dense[row, term] ** 2, np.ones(60), n)
+        dense[row, term] = w
+        return row, term, w, dense
+
+    row, term, w, held = vectors(700)
+    q_row, q_term, q_w, asked = vectors(150)
+    for width, frequent in ((16, 4), (64, 32), (8, 1), (512, 1000)):
+        best, near = BlockMaxIndex(row, term, w, 700, 60, width, frequent).nearest(q_row, q_term, q_w, 150, 9)
+        for x, i, y in zip(asked @ held.T, best, near):
+            want = np.sort(x)[::-1][:9]
+            assert np.allclose(y, want, atol=1e-5) and np.allclose(x[i[i >= 0]], y[i >= 0], atol=1e-5)
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(300)]
     bad = ["stupid", "moronic", "idiots"]
     data, labels = [], []
     for i in range(400):
@@ -421,6 +433,23 @@ def test_toxicity(docs, empty, spark):
     got = {x.doc_id: x for x in score_toxicity(d, model, evidence=True).collect()}
     assert all(got[i].predicted == y for i, y in labels) and got[900].predicted == 0 and got[901].score == got[900].score
     assert len(got[0].evidence) > 0 and all(e.label == 1 for e in got[0].evidence)
+    # scores by brute force: every text with words meets every example
+    known = {i: y for i, y in labels if i % 4}
+    own = {i: Counter(t.split()) for i, t in data}
+    byte = lambda c: Counter({(t if isinstance(t, bytes) else t.encode()): n for t, n in c.items()})
+    vec = {}
+    for i, c in own.items():
+        all_ = byte(c)
+        for x, n in c.items():
+            for s in stems_of(x.encode()):
+                all_[s] += n
+        v = {model.vocabulary[t]: n**0.5 * model.weights[model.vocabulary[t]] for t, n in all_.items() if t in model.vocabulary}
+        size = sum(x * x for x in v.values()) ** 0.5
+        vec[i] = {t: x / size for t, x in v.items()}
+    for i in range(0, 400, 9):
+        near = sorted(((sum(x * vec[j].get(t, 0) for t, x in vec[i].items()), y) for j, y in known.items()), reverse=True)[: model.k]
+        votes = (sum(s * s * y for s, y in near) + PRIOR_VOTE * model.prior) / (sum(s * s for s, _ in near) + PRIOR_VOTE)
+        assert abs(got[i].score - 1 / (1 + np.exp(-(logit(votes) * model.slope + model.shift)))) < 1e-3
     assert score_toxicity(empty, model).count() == 0
     assert score_toxicity(docs, fit(docs, lab.limit(0))).count() == len(rows())
 
