@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, sample: int = 3_000, id
 
     kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("n", T.BinaryType())])
     same: dict[tuple, list] = {}  # (words, counts, label) -> [least id, mass]
-    for r in examples.mapInArrow(tallied, kind).toLocalIterator():
+    for r in examples.mapInArrow(tallied, kind).collect():
         held = same.setdefault((bytes(r["words"]), bytes(r["n"]), r["label"]), [r["id"], 0.0])
         held[0], held[1] = min(held[0], r["id"]), held[1] + 1 / rates[r["label"]]
     got = sorted((x[1][0], x[0][2], x[1][1], x[0][0], x[0][1]) for x in same.items())
@@ -245,15 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, sample: int = 3_000, id
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
-        terms, n, total = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
+        terms, n = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
         for b in common.slices(batches, "text", 4 << 20):
             n += np.bincount(terms.vectors(common.binary(b.column(1)))[1], minlength=len(n))
-            total += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([common.pack(n)], pa.binary())], ["total", "n"])
+            n[-1] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([common.pack(n)], pa.binary())], ["data"])
 
-    total, df = 0, np.zeros(len(vocabulary), np.int64)
-    for r in rows.mapInArrow(frequencies, "total long, n binary").toLocalIterator():
-        total, df = total + r["total"], df + common.unpack(bytes(r["n"]), np.int64)
+    df = sum(common.sum_arrays(rows.mapInArrow(frequencies, "data binary")), np.zeros(len(vocabulary) + 1, np.int64))
+    total, df = df[-1], df[:-1]
     weights = (np.log((total + 1) / (df + 1)) + 1) * told
     return Model(vocabulary, weights, ([x[0] for x in got], label, [x[2] for x in got]), row[order], term[order], count[order], k)
 
