@@ -157,13 +157,18 @@ def kept(name: str, cache):
 
 def only(name: str) -> None:
     """Empties all caches but one and gives their memory back: a worker that serves several operators holds what one needs."""
-    import ctypes
-
     gone = [n for n, c in _KEPT.items() if n != name and len(c)]
     for n in gone:
         _KEPT[n].clear()
     if gone:
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
