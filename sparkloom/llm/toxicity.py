@@ -224,6 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, sample: int = 3_000, id
     row = np.repeat(np.arange(len(got)), [len(x) for x in split])
     word = np.fromiter((index.setdefault(w, len(index)) for x in split for w in x), np.int64, len(row))
     count = np.frombuffer(b"".join(x[4] for x in got), np.int64)
+    got = [x[:3] for x in got]
+    del split, same
     n1, n0 = int((label == 1).sum()), int((label == 0).sum())
     a, b = (np.bincount(word[label[row] == c], minlength=len(index)).astype(float) for c in (1, 0))
     told = np.where(a >= LEAST_EXAMPLES, g2(a, b, n1, n0), 0)
@@ -232,14 +234,31 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, sample: int = 3_000, id
     of = [[stems.setdefault(s, len(stems)) for s in stems_of(w)] for w in index]
     size = np.fromiter(map(len, of), np.int64, len(of))
     flat = np.fromiter((s for x in of for s in x), np.int64, int(size.sum()))
-    at, each = common.ranges((np.cumsum(size) - size)[word], size[word]), size[word]
-    s_row, stem, s_n = common.tally(np.repeat(row, each), flat[at], len(stems), np.repeat(count, each))
-    sa, sb = (np.bincount(stem[label[s_row] == c], minlength=len(stems)).astype(float) for c in (1, 0))
+    del of
+    begin = np.cumsum(size) - size
+
+    def stems_in(block: np.ndarray, kept: np.ndarray | None = None):
+        """(row, stem, count) of some of (row, word, count)."""
+        at, each = common.ranges(begin[word[block]], size[word[block]]), size[word[block]]
+        r, t, c = np.repeat(row[block], each), flat[at], np.repeat(count[block], each)
+        if kept is not None:
+            r, t, c = r[kept[t]], t[kept[t]], c[kept[t]]
+        return common.tally(r, t, len(stems), c)
+
+    edges = np.searchsorted(row, np.arange(0, len(got) + 200, 200))
+    sa, sb = np.zeros(len(stems)), np.zeros(len(stems))
+    for i, j in zip(edges, edges[1:]):  # 200 examples at a time
+        s_row, stem, _ = stems_in(np.arange(i, j))
+        for c, total in ((1, sa), (0, sb)):
+            total += np.bincount(stem[label[s_row] == c], minlength=len(stems))
     s_told = g2(sa, sb, n1, n0)
     keep = (sa >= LEAST_EXAMPLES) & (sa / max(n1, 1) >= LEAST_RATIO * (sb + 0.5) / (n0 + 1)) & (s_told >= LEAST_G2)
     number = np.where(keep, len(index) + np.cumsum(keep) - 1, -1)
     vocabulary = index | {s: int(number[i]) for s, i in stems.items() if keep[i]}
-    row, term, count = np.concatenate([row, s_row[keep[stem]]]), np.concatenate([word, number[stem[keep[stem]]]]), np.concatenate([count, s_n[keep[stem]]])
+    found = [stems_in(np.arange(i, j), keep) for i, j in zip(edges, edges[1:])] or [(row[:0], word[:0], count[:0])]
+    s_row, stem, s_n = (np.concatenate([x[i] for x in found]) for i in range(3))
+    row, term, count = np.concatenate([row, s_row]), np.concatenate([word, number[stem]]), np.concatenate([count, s_n])
+    del stems, flat, size, begin, found, s_row, stem, s_n, word
     order = np.lexsort((term, row))
     told = np.concatenate([BASE + np.maximum(told - TELLING, 0) ** 0.5, np.maximum(s_told[keep] - TELLING, 0) ** 0.5])
     shared = spark.sparkContext.broadcast(vocabulary)
