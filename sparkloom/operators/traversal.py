@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, less, more, propagate
+from ..plans.loops import Unstable, cut, less, more, propagate
 
 
 def _start(vertices: DataFrame, source: int, value: Column, kind: str) -> DataFrame:
@@ -40,9 +40,12 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, source: int, delta: fl
     rounds = vertices.count()
     state = _start(vertices, source, F.lit(0), kind)
     bucket = None if delta is None else F.floor(F.col("value") / F.lit(delta))
-    found = propagate(state, e.select("src", "dst", "w"), (F.col("value") + F.col("w")).cast(kind), F.min, less, bucket, rounds + 1 if delta is None else 1_000_000)
-    if delta is None and found.filter("active").limit(1).count():
-        raise ValueError("a negative cycle")
+    try:
+        found = propagate(state, e.select("src", "dst", "w"), (F.col("value") + F.col("w")).cast(kind), F.min, less, bucket, rounds + 1 if delta is None else 1_000_000)
+    except Unstable as error:
+        if delta is not None:
+            raise
+        raise ValueError("a negative cycle") from error
     return found.select("id", F.col("value").alias("distance"))
 
 

@@ -27,6 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Unstable(RuntimeError):
+    """A loop has used up its rounds."""
+
+
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 10_000, active: str = "active") -> DataFrame:
     """Repeats state = step(state) while any row's `active` column is true; one written table and one short action a round.
     A state that is not stable after `most` rounds raises an error."""
@@ -36,7 +40,7 @@ def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], most:
             return state
         state = cut(step(state))
     if state.filter(active).limit(1).count():
-        raise RuntimeError(f"not stable after {most} rounds")
+        raise Unstable(f"not stable after {most} rounds")
     return state
 
 
