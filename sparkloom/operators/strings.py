@@ -18,19 +18,22 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 
 
 def insert_delete_distance(a: Column, b: Column) -> Column:
-    """The least number of insertions and deletions that make b of a (no substitutions): |a| + |b| - 2 LCS."""
+    """The least number of insertions and deletions that make b of a (no substitutions): |a| + |b| - 2 LCS; null beside a null. Rows of
+    the table of longest common subsequences are whole numbers, a bit for each character of a: 0 where the length grows."""
 
     @F.pandas_udf("long")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(s: str, t: str) -> int | None:
             if s is None or t is None:
                 return None
-            row = [0] * (len(t) + 1)
-            for c in s:
-                old = 0
-                for j, d in enumerate(t, 1):
-                    old, row[j] = row[j], old + 1 if c == d else max(row[j], row[j - 1])
-            return len(s) + len(t) - 2 * row[-1]
+            full, at = (1 << len(s)) - 1, {}
+            for i, c in enumerate(s):
+                at[c] = at.get(c, 0) | 1 << i
+            row = full
+            for c in t:
+                hit = row & at.get(c, 0)
+                row = (row + hit | row - hit) & full
+            return len(s) + len(t) - 2 * (len(s) - row.bit_count())
 
         return pd.Series([one(s, t) for s, t in zip(x, y)], dtype="Int64")
 
@@ -44,47 +47,69 @@ def matches(texts: DataFrame, id_col: str, column: str, pattern: str) -> DataFra
     return texts.filter(F.col(column).contains(pattern)).select(F.col(id_col).alias("id"), F.explode(places).alias("at"))
 
 
-def suffix_array(spark, text: str) -> DataFrame:
-    """(rank, at) of all suffixes, by prefix doubling: ranks of 2k characters come from two ranks of k by a join on the place."""
-    chars = spark.createDataFrame([(i, ord(c)) for i, c in enumerate(text)], "at long, r long")
-    k = 1
-    rows = cut(chars)
+def suffix_arrays(texts: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, rank, at) of all suffixes of each text, ids unique, by prefix doubling: ranks of 2k characters come from two ranks of k by a
+    join on the place, for all texts at once. Null and empty texts have none."""
+    chars = F.posexplode(F.regexp_extract_all(F.col(column), F.lit("(?s)(.)"), F.lit(1))).alias("at", "c")
+    rows = cut(texts.select(F.col(id_col).alias("id"), chars).select("id", F.col("at").cast("long").alias("at"), F.ascii("c").cast("long").alias("r")))
+    total, k = rows.agg(F.count("*"), F.max("at")).first(), 1
     while True:
-        nxt = rows.select((F.col("at") - k).alias("at"), F.col("r").alias("r2"))
-        both = cut(rows.join(nxt, "at", "left").select("at", "r", F.coalesce("r2", F.lit(-1)).alias("r2")))
-        names = dense_index(both.select("r", "r2").distinct(), ["r", "r2"], "new")
-        rows = cut(both.join(names, ["r", "r2"]).select("at", F.col("new").alias("r")))
-        if k >= len(text) or rows.select("r").distinct().count() == len(text):
-            return rows.select(F.col("r").alias("rank"), "at")
+        nxt = rows.select("id", (F.col("at") - k).alias("at"), F.col("r").alias("r2"))
+        both = cut(rows.join(nxt, ["id", "at"], "left").select("id", "at", "r", F.coalesce("r2", F.lit(-1)).alias("r2")))
+        names = cut(dense_index(both.select("id", "r", "r2").distinct(), ["id", "r", "r2"], "new"))
+        rows = cut(both.join(names, ["id", "r", "r2"]).select("id", "at", F.col("new").alias("r")))
+        if names.count() == total[0] or k > total[1]:
+            first = rows.groupBy("id").agg(F.min("r").alias("first"))
+            return rows.join(first, "id").select("id", (F.col("r") - F.col("first")).alias("rank"), "at")
         k *= 2
 
 
-def longest_common_prefixes(suffixes: DataFrame, text: str) -> DataFrame:
-    """(rank, at, lcp): shared first characters of each suffix and the one before it in order."""
-    shared = suffixes.sparkSession.sparkContext.broadcast(text)
-    pairs = suffixes.join(suffixes.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("before")), "rank", "left")
+def longest_common_prefixes(suffixes: DataFrame, texts: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, rank, at, lcp): shared first characters of each suffix and the one before it in order. From place to place the number
+    falls by one at most, so a text takes time in proportion to its length; one text fits a task."""
+
+    def f(sa: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sa = sa.sort_values("rank")
+        order, n = sa["at"].tolist(), 0
+        if not order:
+            return pd.DataFrame({"id": [], "rank": [], "at": [], "lcp": []})
+        text, lcp = rows["text"].iloc[0], [0] * len(order)
+        place = {at: r for r, at in enumerate(order)}
+        for at in range(len(order)):
+            r = place[at]
+            if not r:
+                n = 0
+                continue
+            before = order[r - 1]
+            while max(at, before) + n < len(text) and text[at + n] == text[before + n]:
+                n += 1
+            lcp[r], n = n, max(0, n - 1)
+        return pd.DataFrame({"id": sa["id"], "rank": sa["rank"], "at": order, "lcp": lcp})
+
+    kind = suffixes.schema["id"].dataType.simpleString()
+    own = texts.select(F.col(id_col).alias("id"), F.col(column).alias("text"))
+    return suffixes.groupBy("id").cogroup(own.groupBy("id")).applyInPandas(f, f"id {kind}, rank long, at long, lcp long")
+
+
+def longest_repeated_substrings(texts: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, length, first, second) of each text that is not empty: two places of its longest repeated substring, which is the first in
+    suffix order of those of one length. A text without repetition has length 0 and nulls."""
+    sa = cut(suffix_arrays(texts, id_col, column))
+    lcp = longest_common_prefixes(sa, texts, id_col, column)
+    best = lcp.groupBy("id").agg(F.min(F.struct((-F.col("lcp")).alias("less"), "rank", "at")).alias("m")).select("id", (-F.col("m.less")).alias("length"), "m.rank", "m.at")
+    other = sa.select("id", (F.col("rank") + 1).alias("rank"), F.col("at").alias("other"))
+    found = lambda pick: F.when(F.col("length") > 0, pick("at", "other"))
+    return best.join(other, ["id", "rank"], "left").select("id", "length", found(F.least).alias("first"), found(F.greatest).alias("second"))
 
-    @F.pandas_udf("long")
-    def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        t, out = shared.value, []
-        for i, j in zip(a, b):
-            n = 0
-            if j == j and j is not None:
-                j = int(j)
-                while max(i, j) + n < len(t) and t[i + n] == t[j + n]:
-                    n += 1
-            out.append(n)
-        return pd.Series(out)
 
-    return pairs.select("rank", "at", common("at", F.col("before").cast("double")).alias("lcp"))
+def suffix_array(spark, text: str) -> DataFrame:
+    """(rank, at) of all suffixes of one text."""
+    return suffix_arrays(spark.createDataFrame([(0, text)], "id long, text string"), "id", "text").select("rank", "at")
 
 
 def longest_repeated_substring(spark, text: str) -> DataFrame:
-    """One row: length, and the starts of two occurrences, the first in suffix order."""
-    sa = cut(suffix_array(spark, text))
-    lcp = cut(longest_common_prefixes(sa, text))
-    best = lcp.orderBy(F.desc("lcp"), "rank").limit(1)
-    return best.join(sa.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("other")), "rank").select(F.col("lcp").alias("length"), F.least("at", "other").alias("first"), F.greatest("at", "other").alias("second"))
+    """One row: length, and the starts of two occurrences; none for an empty text."""
+    return longest_repeated_substrings(spark.createDataFrame([(0, text)], "id long, text string"), "id", "text").select("length", "first", "second")
 
 
 def bw_encode(spark, text: str) -> str:

@@ -11,12 +11,12 @@ from .loops import cut
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-GRAPH = """k AS (SELECT max(p_partkey) + 1 AS k FROM part),
- raw AS (SELECT l_partkey AS u, CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey * 7 + l_suppkey * 13) % k ELSE (l_partkey + 1 + l_suppkey % 5) % k END AS t, l_quantity::BIGINT AS w
-         FROM lineitem, k WHERE l_linenumber = 1 AND l_orderkey % 4 < 2),
+GRAPH = """k AS (SELECT max(c_custkey) + 1 AS k FROM customer),
+ raw AS (SELECT o_custkey AS u, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey * 7 + o_orderkey * 13) % k ELSE (o_custkey - o_custkey % 20 + o_orderkey % 20) % k END AS t,
+           o_orderkey * 7919 % 50 + 1 AS w FROM orders, k),
  d AS MATERIALIZED (SELECT u AS src, t AS dst, min(w) AS w FROM raw WHERE u <> t GROUP BY ALL),
  e AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM (SELECT * FROM d UNION ALL SELECT dst, src, w FROM d) GROUP BY ALL),
- v AS (SELECT p_partkey AS id FROM part)"""
+ v AS (SELECT c_custkey AS id FROM customer)"""
 
 
 def sql(final: str, *more: str) -> str:

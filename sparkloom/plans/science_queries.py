@@ -115,10 +115,10 @@ def stored_tree_traversal(spark, sf_dir):
 _B = "b AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS x, (c_custkey * 104729 % 2003) / 2003.0::DOUBLE AS y, (c_custkey * 1299709 % 3001) / 3001.0::DOUBLE AS z, c_acctbal / 10000.0 AS q FROM customer)"
 
 
-@query(f"WITH {_B}, t AS (SELECT * FROM b WHERE id % 10 = 0), r AS (SELECT t.id, b.q, t.x - b.x AS dx, t.y - b.y AS dy, t.z - b.z AS dz, sqrt((t.x - b.x) ** 2 + (t.y - b.y) ** 2 + (t.z - b.z) ** 2) AS r FROM t, b) SELECT id, round(sum(q / r), 5) AS p, round(sum(-q * dx / r ** 3), 3) AS fx FROM r WHERE r > 0 GROUP BY id")
+@query(f"WITH {_B}, r AS (SELECT t.id, b.q, t.x - b.x AS dx, t.y - b.y AS dy, t.z - b.z AS dz, sqrt((t.x - b.x) ** 2 + (t.y - b.y) ** 2 + (t.z - b.z) ** 2) AS r FROM b t, b) SELECT id, round(sum(q / r), 5) AS p, round(sum(-q * dx / r ** 3), 3) AS fx FROM r WHERE r > 0 GROUP BY id")
 def direct_nbody(spark, sf_dir):
     b = bodies(spark, sf_dir)
-    return nbody.direct_sum(b, b.filter("id % 10 = 0")).select("id", F.round("p", 5).alias("p"), F.round("fx", 3).alias("fx"))
+    return nbody.direct_sum(b).select("id", F.round("p", 5).alias("p"), F.round("fx", 3).alias("fx"))
 
 
 @query("SELECT true AS close")
@@ -151,23 +151,19 @@ def pattern_matches(spark, sf_dir):
 
 @query()
 def insert_delete_distance(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("s"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("s"))
     n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
     return b.join(n, "item_id").select("item_id", strings.insert_delete_distance(F.col("s"), F.col("t")).alias("distance"))
 
 
-def _text(spark, sf_dir) -> str:
-    return table(spark, sf_dir, "benchmark").filter("item_id = 0").select("text").first()[0]
-
-
-@query("WITH t AS (SELECT text FROM benchmark WHERE item_id = 0) SELECT row_number() OVER (ORDER BY encode(substr(text, i, 1000)::VARCHAR)) - 1 AS rank, i - 1 AS at FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM t)")
+@query("SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY encode(substr(text, i)::VARCHAR)) - 1 AS rank, i - 1 AS at FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)")
 def suffix_array(spark, sf_dir):
-    return strings.suffix_array(spark, _text(spark, sf_dir))
+    return strings.suffix_arrays(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
 
 
 @query()
 def longest_repeated_substring(spark, sf_dir):
-    return strings.longest_repeated_substring(spark, _text(spark, sf_dir))
+    return strings.longest_repeated_substrings(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
 
 
 @query()
@@ -219,8 +215,8 @@ def rectangle_overlaps(spark, sf_dir):
 def ray_first_hits(spark, sf_dir):
     b = bodies(spark, sf_dir)
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    t = b.filter("id % 3 = 0").select("id", x.alias("ax"), y.alias("ay"), z.alias("az"), (x + 0.3).alias("bx"), y.alias("by"), z.alias("bz"), x.alias("cx"), (y + 0.3).alias("cy"), z.alias("cz"))
-    r = b.filter("id % 7 = 0").select("id", x.alias("ox"), y.alias("oy"), F.lit(-1.0).alias("oz"), F.lit(0.05).alias("dx"), F.lit(0.02).alias("dy"), F.lit(1.0).alias("dz"))
+    t = b.select("id", x.alias("ax"), y.alias("ay"), z.alias("az"), (x + 0.3).alias("bx"), y.alias("by"), z.alias("bz"), x.alias("cx"), (y + 0.3).alias("cy"), z.alias("cz"))
+    r = b.select("id", x.alias("ox"), y.alias("oy"), F.lit(-1.0).alias("oz"), F.lit(0.05).alias("dx"), F.lit(0.02).alias("dy"), F.lit(1.0).alias("dz"))
     return textbook.first_hits(r, t)
 
 
@@ -237,7 +233,7 @@ def big_number_sum(spark, sf_dir):
 
 @query()
 def fourier_transform(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 5").select(F.col("user_id").alias("key"), F.col("event_id").alias("idx"), "value")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("idx"), "value")
     return textbook.fourier(e).select("key", "idx", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 

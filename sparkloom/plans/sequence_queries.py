@@ -78,10 +78,10 @@ def append(spark, sf_dir):
     return q.append(s, s.select("idx", (-F.col("value")).alias("value")))
 
 
-@query("SELECT row_number() OVER (ORDER BY idx, j) - 1 AS idx, value FROM (SELECT idx, j, value + j AS value FROM s, range(3) r(j) WHERE idx % 10 = 0)")
+@query("SELECT row_number() OVER (ORDER BY idx, j) - 1 AS idx, value FROM (SELECT idx, j, value + j AS value FROM s, range(3) r(j))")
 def flatten(spark, sf_dir):
     v = F.col("value")
-    return q.flatten(seq(spark, sf_dir).filter("idx % 10 = 0").select("idx", F.array(v, v + 1, v + 2).alias("values")))
+    return q.flatten(seq(spark, sf_dir).select("idx", F.array(v, v + 1, v + 2).alias("values")))
 
 
 @query("SELECT row_number() OVER (ORDER BY value <= 10, idx) - 1 AS idx, value FROM s")

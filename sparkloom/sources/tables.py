@@ -13,24 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, w): parts sold together with a part of near or scattered number, from a share of the line items."""
-    k = F.lit(table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1)
-    v = F.when(F.col("l_orderkey") % 3 == 0, (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % k).otherwise((F.col("l_partkey") + 1 + F.col("l_suppkey") % 5) % k)
-    some = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 4 < 2")
-    return some.select(F.col("l_partkey").alias("src"), v.alias("dst"), F.col("l_quantity").cast("long").alias("w"))
+def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, w), one row for every order: its customer, and by the order's number one of the 20 customers of the same block or,
+    for a third of the orders, one anywhere."""
+    k = F.lit(table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] + 1)
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    v = F.when(o % 3 == 0, (c * 7 + o * 13) % k).otherwise((c - c % 20 + o % 20) % k)
+    return table(spark, sf_dir, "orders").select(c.alias("src"), v.alias("dst"), (o * 7919 % 50 + 1).alias("w"))
 
 
-def part_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+def customer_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
 
 
 def directed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return cut(part_vertices(spark, sf_dir)), cut(from_edges(part_edges(spark, sf_dir)))
+    return cut(customer_vertices(spark, sf_dir)), cut(from_edges(customer_edges(spark, sf_dir)))
 
 
 def undirected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return cut(part_vertices(spark, sf_dir)), cut(from_edges(part_edges(spark, sf_dir), symmetric=True))
+    return cut(customer_vertices(spark, sf_dir)), cut(from_edges(customer_edges(spark, sf_dir), symmetric=True))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

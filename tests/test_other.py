@@ -160,6 +160,15 @@ def test_particles(spark):
     assert nbody.octree(b, 16).groupBy("level", "key").count().agg(F.max("count")).first()[0] <= 16
 
 
+def plain_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            old, row[j] = row[j], old if c == d else 1 + min(row[j], row[j - 1])
+    return row[-1]
+
+
 def test_strings(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "kitten", "sitting"), (3, "", "xy"), (4, None, "x")], "id long, a string, b string")
     got = {r.id: r.d for r in df.select("id", strings.insert_delete_distance(F.col("a"), F.col("b")).alias("d")).collect()}
@@ -171,6 +180,19 @@ def test_strings(spark):
     assert [sa[i] for i in range(len(word))] == sorted(range(len(word)), key=lambda i: word[i:])
     assert tuple(strings.longest_repeated_substring(spark, word).first()) == (4, 1, 4)
     assert strings.bw_encode(spark, "banana") == "annb\0aa"
+    texts = {7: "mississippi", 8: "aaaa", 9: "x", 10: "", 11: None, 12: "\U0001f600b\n\U0001f600b", 13: "abc"}
+    many = spark.createDataFrame(list(texts.items()), "n long, t string")
+    got = {i: [] for i, t in texts.items() if t}
+    for x in strings.suffix_arrays(many, "n", "t").orderBy("id", "rank").collect():
+        got[x["id"]].append(x["at"])
+    assert got == {i: sorted(range(len(t)), key=lambda k: [ord(c) for c in t[k:]]) for i, t in texts.items() if t}
+    best = {tuple(x) for x in strings.longest_repeated_substrings(many, "n", "t").collect()}
+    assert best == {(7, 4, 1, 4), (8, 3, 0, 1), (9, 0, None, None), (12, 2, 0, 3), (13, 0, None, None)}
+    r, pairs = random.Random(2), []
+    for i in range(60):
+        pairs.append((i, "".join(r.choices("abcd", k=r.randrange(90))), "".join(r.choices("abcd", k=r.randrange(90)))))
+    least = spark.createDataFrame(pairs, "id long, a string, b string").select("id", strings.insert_delete_distance(F.col("a"), F.col("b")).alias("d"))
+    assert {x.id: x.d for x in least.collect()} == {i: plain_distance(a, b) for i, a, b in pairs}
     assert strings.huffman_lengths({"a": 5, "b": 2, "c": 1}) == {"a": 1, "b": 2, "c": 2}
     s = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate([3, 1, 2, 0, 5])], "key long, idx long, value double")
     assert {r.idx: r.parent for r in strings.nearest_smaller(s).collect()} == {0: 1, 1: 3, 2: 1, 3: None, 4: 3}
