@@ -10,21 +10,23 @@ from .graph import degree_rank, degrees, orient
 
 
 def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, core, round): vertices of degree at most k are peeled, round by round, k rising to the least degree left."""
-    e = cut(edges.select("src", "dst"))
-    left = cut(degrees(vertices, e).select("id", F.col("out_degree").alias("d")))
-    done, k, number = left.select("id", F.lit(0).cast("long").alias("core"), F.lit(0).alias("round")).limit(0), 0, 0
+    """(id, core, round): vertices of degree at most k are peeled, round by round, k rising to the least degree left. A round writes the
+    vertices once; edges stay as they are dealt, as only those of peeled vertices are joined and each vertex is peeled once."""
+    e = cut(edges.select("src", "dst").repartition("src"))
+    none = F.lit(None)
+    state = cut(degrees(vertices, e).select("id", F.col("out_degree").alias("d"), none.cast("long").alias("core"), none.cast("int").alias("round")))
+    k, number = 0, 0
     while True:
-        least = left.agg(F.min("d")).first()[0]
+        least = state.filter("core is null").agg(F.min("d")).first()[0]
         if least is None:
-            return done
+            return state.select("id", "core", "round")
         k, number = max(k, least), number + 1
-        gone = cut(left.filter(F.col("d") <= k).select("id", F.lit(k).cast("long").alias("core"), F.lit(number).alias("round")))
-        done = cut(done.union(gone))
-        lost = e.join(gone.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-        left = cut(left.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("d") - F.coalesce("n", F.lit(0))).alias("d")))
-        x = gone.select(F.col("id").alias("x"))
-        e = cut(e.join(x, e["src"] == x["x"], "left_anti").join(x, e["dst"] == x["x"], "left_anti"))
+        now = F.col("core").isNull() & (F.col("d") <= k)
+        lost = state.filter(now).select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        state = cut(state.join(lost, "id", "left").select(
+            "id", F.when(F.col("core").isNull() & ~now, F.col("d") - F.coalesce("n", F.lit(0))).otherwise(F.col("d")).alias("d"),
+            F.when(now, F.lit(k)).otherwise(F.col("core")).cast("long").alias("core"), F.when(now, F.lit(number)).otherwise(F.col("round")).alias("round"),
+        ))
 
 
 def degeneracy_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,18 +36,15 @@ def degeneracy_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _peel(vertices: DataFrame, edges: DataFrame, choose) -> DataFrame:
     """(id, round): choose(left, n) gives the rows of left (id, d) that a round removes."""
-    e, left = cut(edges.select("src", "dst")), cut(degrees(vertices, edges).select("id", F.col("out_degree").alias("d")))
-    done, number = left.select("id", F.lit(0).alias("round")).limit(0), 0
-    n = left.count()
-    while left.limit(1).count():
+    e = cut(edges.select("src", "dst").repartition("src"))
+    state = cut(degrees(vertices, e).select("id", F.col("out_degree").alias("d"), F.lit(None).cast("int").alias("round")))
+    n, number = state.count(), 0
+    while state.filter("round is null").limit(1).count():
         number += 1
-        gone = cut(choose(left, n).select("id", F.lit(number).alias("round")))
-        done = cut(done.union(gone))
-        lost = e.join(gone.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-        left = cut(left.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("d") - F.coalesce("n", F.lit(0))).alias("d")))
-        x = gone.select(F.col("id").alias("x"))
-        e = cut(e.join(x, e["src"] == x["x"], "left_anti").join(x, e["dst"] == x["x"], "left_anti"))
-    return done
+        gone = cut(choose(state.filter("round is null").select("id", "d"), n).select("id", F.lit(number).alias("now")))
+        lost = gone.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        state = cut(state.join(gone, "id", "left").join(lost, "id", "left").select("id", (F.col("d") - F.coalesce("n", F.lit(0))).alias("d"), F.coalesce("round", "now").alias("round")))
+    return state.select("id", "round")
 
 
 def goodrich_pszona_order(vertices: DataFrame, edges: DataFrame, epsilon: float = 0.1) -> DataFrame:
