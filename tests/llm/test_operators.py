@@ -528,3 +528,44 @@ def _batches(df):
 
     rows_ = sorted(df.collect(), key=lambda r: (r.row, r.kind))
     yield pa.RecordBatch.from_pylist([r.asDict() for r in rows_], pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())]))
+
+
+def test_lm_scores_by_brute_force():
+    """Probabilities of words in each group, recomputed event by event from counts in dictionaries."""
+    import sparkloom.llm.lm_score as lm
+
+    random = np.random.default_rng(3)
+    words = sorted({b"", b"a", b"ab", b"abc", b"abd", b"the", b"then", b"themselves", b"x" * 40, "über".encode(), b"\xff\x00", *(bytes(random.integers(97, 100, n).astype(np.uint8)) for n in random.integers(1, 9, 60))})
+    counts = random.integers(0, 3, (len(words), lm.GROUPS)) * (random.random((len(words), 1)) < 0.8)
+    weights = random.normal(0.4, 0.1, (32, 5))
+    entries, held = [], Counter()
+    e = lm.Events(words)
+    for k, (order, _, _, least) in enumerate(lm.CONTEXTS[: lm.COUNTED]):
+        used = np.where(counts.sum(1, keepdims=True) >= least, counts, 0)
+        entries.append((e.contexts(k) | e.byte, used[e.word]))
+        for w, n in zip(words, used.tolist()):
+            for i, byte in enumerate(w + b" "):
+                ctx = (b" " + w)[max(0, i + 1 - order) if order else 0 : i + 1]
+                for j in range(lm.DEPTH[byte]):
+                    for g in range(lm.GROUPS):
+                        held[k, ctx, int(lm.NODES[byte, j]), int(lm.BITS[byte, j]), g] += n[g]
+    known = lm.Known(*lm.add_up(*lm.together(entries)))
+
+    def log_odds(k, ctx, node, g):
+        c = [sum(held[k, ctx, node, bit, h] for h in ([g] if g is not None else range(lm.GROUPS))) for bit in (0, 1)]
+        return np.log((c[1] + lm.DELTA) / (c[0] + lm.DELTA))
+
+    got = lm.Mixer([], weights).score(words, known)
+    for w, scores in zip(words, got.tolist()):
+        for g in range(lm.GROUPS):
+            total = 0.0
+            for i, byte in enumerate(w + b" "):
+                gate = None
+                for j in range(lm.DEPTH[byte]):
+                    x = [log_odds(min(k, lm.COUNTED - 1), (b" " + w)[max(0, i + 1 - o) if o else 0 : i + 1], int(lm.NODES[byte, j]), g if apart else None) for k, (o, _, apart, _) in enumerate(lm.CONTEXTS)]
+                    gate = sum((abs(v) > 1e-12) << k for k, v in enumerate(x)) if gate is None else gate
+                    z = float(weights[gate] @ x)
+                    total -= np.log1p(np.exp(-z if lm.BITS[byte, j] else z))
+            assert abs(total - scores[g]) < 1e-3 * max(1, abs(total))
+    order = random.permutation(len(words))
+    assert np.allclose(lm.Mixer([], weights).score([words[i] for i in order], known), got[order], atol=1e-3)
