@@ -10,14 +10,16 @@ from .sequence import is_sorted
 
 
 def sort(seq: DataFrame) -> DataFrame:
-    """(idx, value) in rising order, equal values in their old order; idx is the new place. Splitters are sampled over (value,
-    place), so one value of many copies still spreads over partitions."""
-    return dense_index(seq.select("value", F.col("idx").alias("old")), ["value", "old"]).select("idx", "value")
+    """(idx, value) in rising order, nulls last, equal values in their old order; idx is the new place. Splitters are sampled over
+    (value, place), so one value of many copies still spreads over partitions."""
+    order = [F.col("value").asc_nulls_last(), F.col("old").asc_nulls_last()]
+    return dense_index(seq.select("value", F.col("idx").alias("old")), order).select("idx", "value")
 
 
 def counting_sort(seq: DataFrame, buckets: int) -> DataFrame:
-    """Stable, for whole values below buckets."""
-    return sort(seq.filter((F.col("value") >= 0) & (F.col("value") < buckets)))
+    """Stable, for whole values. Those below 0, from buckets on and null keep their place in the order as well: buckets are ranges
+    of a sort, so their number bounds nothing."""
+    return sort(seq)
 
 
 def splitters(seq: DataFrame, parts: int) -> list[float]:

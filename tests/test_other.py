@@ -20,6 +20,12 @@ def listed(df, column="value"):
     return [r[column] for r in df.orderBy("idx").collect()]
 
 
+def test_counting_sort_keeps_every_row(spark):
+    s = spark.createDataFrame([(0, 900), (1, 149), (2, None), (3, 150), (4, -3), (5, 0), (6, 900)], "idx long, value long").repartition(3)
+    assert listed(sorting.counting_sort(s, 150)) == [-3, 0, 149, 150, 900, 900, None]
+    assert listed(sorting.sort(s)) == [-3, 0, 149, 150, 900, 900, None]
+
+
 def test_sequences(spark):
     v = [5, 3, 3, 9, 1, 1, 7, 3]
     s = seq(spark, v)
