@@ -258,3 +258,15 @@ def test_frontiers_and_shapes(spark, make):
     assert graph.from_edges(spark.createDataFrame([(0, 1), (0, 1), (1, 1)], "src long, dst long")).count() == 1
     le = traversal.least_element_lists(v, e)
     assert {tuple(r) for r in le.filter("id = 6").collect()} == {(6, 2, 3), (6, 3, 2), (6, 5, 1), (6, 6, 0)}
+
+
+def size_digits(df):
+    """Binary digits of the size that Spark foretells for a plan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+
+def test_loops_keep_sizes_short(make):
+    v, e = make([(i, i + 1) for i in range(19)], 20)
+    chosen = covering.independent_set(v, e)
+    assert column(chosen) == {i: i % 2 == 0 for i in range(20)}
+    assert size_digits(chosen) < 200
