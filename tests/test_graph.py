@@ -270,3 +270,11 @@ def test_loops_keep_sizes_short(make):
     chosen = covering.independent_set(v, e)
     assert column(chosen) == {i: i % 2 == 0 for i in range(20)}
     assert size_digits(chosen) < 200
+
+
+def test_spanning_rounds_keep_sizes_short(spark, make):
+    weights = [(i, i + 1, (i + 1) & -(i + 1)) for i in range(15)]
+    e = graph.from_edges(spark.createDataFrame(weights, "src long, dst long, w long"), symmetric=True)
+    forest = components.minimum_spanning_forest(spark.range(16), e)
+    assert sorted(tuple(r) for r in forest.collect()) == weights
+    assert size_digits(forest) < 200
