@@ -6,6 +6,7 @@ and needs no shared memory, and a lost shard is rebuilt alone. Queries are colle
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -384,14 +385,17 @@ def knn_graph(points: DataFrame, k: int) -> DataFrame:
 
 
 def pairs_within(points: DataFrame, radius: float, dims: list[str]) -> DataFrame:
-    """(a, b), a < b, of points (id and numeric dims) nearer than radius: each point goes to its grid cell and, as a query, to the
-    cells around, so only near pairs meet."""
-    cell = [F.floor(F.col(d) / radius).cast("long") for d in dims]
-    around = F.array(F.array().cast("array<long>"))
-    for _ in dims:
-        around = F.flatten(F.transform(around, lambda a: F.array(*[F.concat(a, F.array(F.lit(s).cast("long"))) for s in (-1, 0, 1)])))
-    left = points.select(F.col("id").alias("a"), *[F.col(d).alias(f"a_{d}") for d in dims], F.array(*cell).alias("cell"))
-    right = points.select(F.col("id").alias("b"), *[F.col(d).alias(f"b_{d}") for d in dims], F.explode(F.transform(around, lambda s: F.zip_with(F.array(*cell), s, lambda x, y: x + y))).alias("cell"))
+    """(a, b), a < b, of points (id and numeric dims) nearer than radius: each point goes to its grid cell and, as a query, to that
+    cell and one of each two opposite ones around, so only near pairs meet, and once.
+
+    Cells are a trifle wider than radius, so rounding parts no pair. The join is never broadcast: sizes foretold from files know
+    nothing of the copies, and millions of rows would pass through the driver."""
+    cell = [F.floor(F.col(d) / (radius * (1 + 1e-9))).cast("long") for d in dims]
+    names = [f"cell_{d}" for d in dims]
+    half = [s for s in itertools.product((-1, 0, 1), repeat=len(dims)) if s >= (0,) * len(dims)]
+    around = F.explode(F.array(*[F.struct(*[(c + F.lit(x)).alias(n) for c, x, n in zip(cell, s, names)], F.lit(any(s)).alias("other")) for s in half]))
+    left = points.select(F.col("id").alias("i"), *[F.col(d).alias(f"a_{d}") for d in dims], *[c.alias(n) for c, n in zip(cell, names)])
+    right = points.select(F.col("id").alias("j"), *[F.col(d).alias(f"b_{d}") for d in dims], around.alias("at")).select("j", *[f"b_{d}" for d in dims], "at.*")
     apart = sum(((F.col(f"a_{d}") - F.col(f"b_{d}")) ** 2 for d in dims), F.lit(0.0))
-    return left.join(right, "cell").filter("a < b").filter(apart < radius * radius).select("a", "b")
-
+    met = right.join(left.hint("merge"), names).filter((F.col("other") & (F.col("i") != F.col("j"))) | (F.col("i") < F.col("j"))).filter(apart < radius * radius)
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))

@@ -243,3 +243,15 @@ def test_incremental_components(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_pairs_within_never_pass_through_the_driver(spark):
+    random.seed(5)
+    p = [(i, random.uniform(-1, 1), random.choice([-0.5, 0.0, 0.25]), random.uniform(0, 0.5)) for i in range(150)]
+    df = spark.createDataFrame([*p, *[(i + 150, *q) for i, *q in p[:5]]], "id long, x double, y double, z double")
+    rows = [tuple(r) for r in df.collect()]
+    near = lambda r, n: sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and sum((s - t) ** 2 for s, t in zip(a[1 : n + 1], b[1 : n + 1])) < r * r)
+    for radius, dims in ((0.25, ["x", "y", "z"]), (0.3, ["x", "y"]), (0.01, ["x"])):
+        found = ann.pairs_within(df, radius, dims)
+        assert sorted(tuple(r) for r in found.collect()) == near(radius, len(dims))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
