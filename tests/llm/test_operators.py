@@ -569,3 +569,24 @@ def test_lm_scores_by_brute_force():
             assert abs(total - scores[g]) < 1e-3 * max(1, abs(total))
     order = random.permutation(len(words))
     assert np.allclose(lm.Mixer([], weights).score([words[i] for i in order], known), got[order], atol=1e-3)
+
+
+def test_lm_score_weights_come_from_all_words():
+    import random
+
+    from sparkloom.llm import lm_score as lm
+
+    random.seed(3)
+    words = sorted({bytes(random.choices(b"etaoinsh", range(8, 0, -1), k=random.randint(1, 7))) for _ in range(1500)})
+    counts = np.random.default_rng(3).integers(0, 4, (len(words), lm.GROUPS)) + np.eye(lm.GROUPS, dtype=int)[0]
+    e = lm.Events(words)
+    known = lm.Known(*lm.add_up(*lm.together([lm.add_up(e.contexts(k) | e.byte, np.where(counts.sum(1, keepdims=True) >= lm.CONTEXTS[k][3], counts, 0)[e.word]) for k in range(lm.COUNTED)])))
+
+    def cost(mixer):
+        return sum(float((own * np.log1p(np.exp(np.where(bit == 1, -1, 1) * sum(mixer.weights[gate, k] * s for k, s in enumerate(inputs))))).sum()) for gate, inputs, bit, own, _ in mixer.examples(known, words, counts.astype(float)))
+
+    start = lm.Mixer.fit(known, [(words[i], counts[i].tolist()) for i in range(0, len(words), 40)])
+    half = len(words) // 2
+    whole = start.moments(known, words, counts)
+    assert np.allclose(whole, start.moments(known, words[:half], counts[:half]) + start.moments(known, words[half:], counts[half:]), rtol=1e-4, atol=1e-2)
+    assert cost(start.stepped(whole)) < cost(start)
