@@ -54,22 +54,30 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def minimum_spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, w) with src < dst, by Boruvka rounds; equal weights are ordered by the ends. Edges within a component are dropped
-    between rounds."""
-    labels = cut(vertices.select("id", F.col("id").alias("label")))
-    left = cut(edges.filter("src < dst").select("src", "dst", "w"))
-    forest = left.limit(0)
-    while True:
-        a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-        left = cut(left.select("src", "dst", "w").join(a, "src").join(b, "dst").filter("a <> b"))
-        if left.limit(1).count() == 0:
-            return forest
-        key = F.struct("w", "src", "dst")
-        both = left.select(F.col("a").alias("c"), key.alias("k")).union(left.select(F.col("b").alias("c"), key.alias("k")))
-        chosen = cut(both.groupBy("c").agg(F.min("k").alias("k")).select("k.src", "k.dst", "k.w").distinct())
-        forest = cut(forest.union(chosen))
-        hooks = chosen.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        merged = connected_components(labels.select(F.col("label").alias("id")).distinct(), hooks.union(hooks.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-        labels = cut(labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("new")), "label").select("id", F.col("new").alias("label")))
+    between rounds.
+
+    A round hooks each component to the other end of its least edge. As no two edges are equal, the only cycles are pairs that hook
+    to each other by one edge; the lesser of the two becomes a root, which takes no edge. Jumping over pointers then leads to roots."""
+    a, b = vertices.select(F.col("id").alias("src")), vertices.select(F.col("id").alias("dst"))
+    known = edges.filter("src < dst").join(a, "src", "left_semi").join(b, "dst", "left_semi")
+    left = cut(known.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("w", "src", "dst").alias("k")))
+    forest = left.limit(0).select("k.src", "k.dst", "k.w")
+
+    def jump(s: DataFrame) -> DataFrame:
+        over = s.select(F.col("c").alias("up"), F.col("up").alias("next"))
+        return s.join(over, "up").select("c", F.col("next").alias("up"), "k", (F.col("next") != F.col("up")).alias("active"))
+
+    while left.limit(1).count():
+        both = left.select(F.col("a").alias("c"), F.col("b").alias("up"), "k").union(left.select("b", "a", "k"))
+        hooks = cut(both.groupBy("c").agg(F.min(F.struct("k", "up")).alias("m")).select("c", "m.up", "m.k"))
+        back = hooks.select(F.col("c").alias("up"), F.col("up").alias("back"))
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("up"))
+        state = hooks.join(back, "up").select("c", F.when(root, F.col("c")).otherwise(F.col("up")).alias("up"), "k", F.lit(True).alias("active"))
+        state = until_stable(state, jump)
+        forest = forest.union(state.filter("c <> up").select("k.src", "k.dst", "k.w"))
+        a, b = state.select(F.col("c").alias("a"), F.col("up").alias("x")), state.select(F.col("c").alias("b"), F.col("up").alias("y"))
+        left = cut(left.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), "k"))
+    return forest
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

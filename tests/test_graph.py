@@ -278,3 +278,15 @@ def test_spanning_rounds_keep_sizes_short(spark, make):
     forest = components.minimum_spanning_forest(spark.range(16), e)
     assert sorted(tuple(r) for r in forest.collect()) == weights
     assert size_digits(forest) < 200
+
+
+def test_spanning_rounds_write_little(spark, monkeypatch):
+    rows = [(a, b, w) for a, b, w in [(0, 1, 2), (0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, None), (4, 5, 7), (5, 3, 7), (5, 9, 0)]] + [(10 + i, 11 + i, 1) for i in range(30)]
+    e = spark.createDataFrame([x for a, b, w in rows for x in ((a, b, w), (b, a, w))], "src long, dst long, w long")
+    v = spark.createDataFrame([(i,) for i in [*range(9), *range(10, 41)]], "id long")
+    kind, written = type(e), []
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, f=kind.checkpoint, **b: written.append(0) or f(self, *a, **b))
+    forest = components.minimum_spanning_forest(v, e)
+    want = [(0, 1, 1), (0, 2, 1), (3, 4, None), (3, 5, 7)] + [(10 + i, 11 + i, 1) for i in range(30)]
+    assert sorted(tuple(r) for r in forest.collect()) == want
+    assert len(written) <= 16
