@@ -590,3 +590,49 @@ def test_lm_score_weights_come_from_all_words():
     whole = start.moments(known, words, counts)
     assert np.allclose(whole, start.moments(known, words[:half], counts[:half]) + start.moments(known, words[half:], counts[half:]), rtol=1e-4, atol=1e-2)
     assert cost(start.stepped(whole)) < cost(start)
+
+
+def test_lm_words_share_the_events_of_their_beginnings():
+    """Slopes and curvatures of the step over training words, recomputed word by word from counts in dictionaries; an event that
+    several words have is worked on once for each group, and once more for words too rare to be in all counts."""
+    from sparkloom.llm import lm_score as lm
+
+    random = np.random.default_rng(5)
+    words = sorted({b"", b"a", b"und", "über".encode(), b"\xff\x00", *(b"themselves" + bytes(random.integers(97, 100, n).astype(np.uint8)) for n in random.integers(0, 6, 40))})
+    counts = random.integers(0, 3, (len(words), lm.GROUPS)) * (random.random((len(words), 1)) < 0.7)
+    counts[:3] = np.eye(lm.GROUPS, dtype=int)[:3]
+    words, counts = [w for w, n in zip(words, counts) if n.any()], counts[counts.any(1)]
+    weights = random.normal(0.4, 0.1, (32, 5))
+    e = lm.Events(words)
+    known = lm.Known(*lm.add_up(*lm.together([lm.add_up(e.contexts(k) | e.byte, np.where(counts.sum(1, keepdims=True) >= lm.CONTEXTS[k][3], counts, 0)[e.word]) for k in range(lm.COUNTED)])))
+
+    def steps(w):
+        for i, byte in enumerate(w + b" "):
+            for j in range(lm.DEPTH[byte]):
+                yield [(b" " + w)[max(0, i + 1 - order) if order else 0 : i + 1] for order, *_ in lm.CONTEXTS], int(lm.NODES[byte, j]), int(lm.BITS[byte, j]), (b" " + w + b" ")[: i + 2], j
+
+    held: Counter = Counter()
+    for w, n in zip(words, counts.tolist()):
+        for ctx, node, bit, _, _ in steps(w):
+            for k, (_, _, _, least) in enumerate(lm.CONTEXTS):
+                for g in range(lm.GROUPS if sum(n) >= least else 0):
+                    held[k, ctx[k], node, bit, g] += n[g]
+    want, once, gate = np.zeros((32, 5, 6)), set(), None
+    for w, n in zip(words, counts.tolist()):
+        for g in np.flatnonzero(n).tolist():
+            for ctx, node, bit, start, j in steps(w):
+                x = []
+                for k, (_, _, apart, least) in enumerate(lm.CONTEXTS):
+                    c = [sum(held[k, ctx[k], node, o, h] for h in ([g] if apart else range(lm.GROUPS))) for o in (0, 1)]
+                    c[bit] = max(0, c[bit] - (sum(n) >= least))
+                    x.append(np.log((c[1] + lm.DELTA) / (c[0] + lm.DELTA)))
+                gate = sum((abs(v) > 1e-12) << k for k, v in enumerate(x)) if j == 0 else gate
+                p = 1 / (1 + np.exp(-weights[gate] @ x))
+                want[gate, :, 0] += (bit - p) * n[g] * np.asarray(x)
+                want[gate, :, 1:] += p * (1 - p) * n[g] * np.outer(x, x)
+                once.add((start, node, bit, g, sum(n) >= 2))
+    mixer = lm.Mixer([], weights)
+    assert np.allclose(mixer.moments(known, words, counts), want, rtol=1e-4, atol=1e-3)
+    assert sum(len(bit) for _, _, bit, _, _ in mixer.examples(known, words, counts.astype(float))) == len(once)
+    table, place = known.look(lm.Events(words), 2)
+    assert table.shape[2] == 1 and len(table) < len(place)  # no context of this size has its groups apart
