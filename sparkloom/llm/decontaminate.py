@@ -87,6 +87,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, width: int = 8, leas
 
     def scan(shared, final: bool):
         def f(batches):
+            common.only("decontamination")
             finder = shared.value
             for b in common.slices(batches, "text", 16 << 20):
                 hits, items, counts = [], [], []

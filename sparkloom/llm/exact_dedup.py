@@ -103,6 +103,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def digest(batches):
         from pyspark import TaskContext
 
+        common.only("exact dedup")
         row = TaskContext.get().partitionId() << 33
         for b in common.slices(batches, "text"):
             texts = common.binary(b.column(1))

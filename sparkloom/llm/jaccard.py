@@ -126,7 +126,7 @@ def jaccard_components(df: DataFrame, num: int = 90, den: int = 100, width: int
 
     # classes of equal sets
     def identify(batches):
-        common.only("")
+        common.only("jaccard")
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         seen: set[bytes] = set()
         for b in common.slices(batches, "text", 8 << 20):

@@ -71,6 +71,8 @@ def grams(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
+#: So many new words are scored at once.
+SCORED = 1 << 14
 #: The worker's scores of words: model, rows (word -> row of table) and table.
 _known: dict = common.kept("language words", {})
 
@@ -95,18 +97,22 @@ class Model:
         rows = _known["rows"]
         new = list(set(words) - rows.keys())
         if new:
-            hashed, of = grams(new, self.bits)
-            s = np.stack([np.bincount(of, weights=self.logs[hashed, k], minlength=len(new)) for k in range(len(self.langs))], 1)
-            s = np.clip(s, -20, 20)
-            kinds = np.fromiter(map(script_of, new), np.int64, len(new))
-            ok = self.allowed[np.maximum(kinds, 0)] | ~self.allowed[np.maximum(kinds, 0)].any(1, keepdims=True)
-            s = np.where(ok, s, -30.0)
-            s[kinds < 0] = 0
             base = len(_known["table"])
-            _known["table"] = np.concatenate([_known["table"], s.astype(np.float32)])
+            _known["table"] = np.concatenate([_known["table"], *[self.score(new[k : k + SCORED]) for k in range(0, len(new), SCORED)]])
             rows.update(zip(new, range(base, base + len(new))))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """The scores of each word by language; memory for each gram of all these words."""
+        hashed, of = grams(words, self.bits)
+        s = np.stack([np.bincount(of, weights=self.logs[hashed, k], minlength=len(words)) for k in range(len(self.langs))], 1)
+        s = np.clip(s, -20, 20)
+        kinds = np.fromiter(map(script_of, words), np.int64, len(words))
+        ok = self.allowed[np.maximum(kinds, 0)] | ~self.allowed[np.maximum(kinds, 0)].any(1, keepdims=True)
+        s = np.where(ok, s, -30.0)
+        s[kinds < 0] = 0
+        return s.astype(np.float32)
+
     @property
     def table(self) -> np.ndarray:
         return _known["table"]

@@ -91,9 +91,9 @@ def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
         tokens, part = PreTokens.of(tokenizer), TaskContext.get().partitionId()
         seen, full = np.zeros(capacity + 1, np.int64), 0
-        for table in common.blocks(batches, "text", 8 << 20):
+        for table in common.blocks(batches, "text", 4 << 20):
             row, piece, size, crc = [], [], [], []
-            for i, data in enumerate(tokens.encode(common.binary(table["text"]))):
+            for i, data in enumerate(tokens.each(common.binary(table["text"]))):
                 data += last
                 for k in range(0, len(data), step):
                     some = data[k : k + step]

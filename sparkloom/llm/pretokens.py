@@ -28,19 +28,24 @@ _L, _N = _class("L"), _class("N")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
 
+#: What an entry of a cache takes besides the bytes it holds: two objects' heads and a place in the table.
+ENTRY_BYTES = 150
+
+
 class PreTokens:
-    """path: a tokenizers .json file whose splitter is the pattern above. Each cache holds at most about `most` entries and is emptied
-    beyond. Chunks and pre-tokens are UTF-8."""
+    """path: a tokenizers .json file whose splitter is the pattern above. Sizes are kept of at most about `most` pre-tokens and forgotten
+    beyond. Ids are kept in two generations: once the younger takes about `most_bytes` it becomes the older, whose entries are
+    forgotten unless asked for again. Chunks and pre-tokens are UTF-8."""
 
     _of: dict[str, "PreTokens"] = common.kept("pre-tokens", {})
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         self.added = {t.content.encode(): i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(re.escape(t.decode()) for t in self.added) + ")") if self.added else None
         vocab = self.tok.get_vocab()
@@ -48,6 +53,8 @@ class PreTokens:
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
         self.ids: dict[bytes, bytes] = {}  # of chunks and pre-tokens
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0  # about the bytes that ids takes
         self.sizes: dict[bytes, int] = {}  # of pre-tokens: how many ids
 
     @classmethod
@@ -113,30 +120,54 @@ class PreTokens:
 
     def learn(self, chunks: list[bytes], split=None) -> list[bytes]:
         """The ids of each of these distinct chunks."""
-        ids, split = self.ids, split or self.split
-        if len(ids) > self.most:
-            ids.clear()
-        new = [(c, split(c)) for c in chunks if c not in ids]
-        for plain, found, ends in self.encoded([t for t in dict.fromkeys(t for _, ts in new for t in ts) if t not in ids]):
+        if self.held > self.most_bytes:
+            self.older, self.ids, self.held = self.ids, {}, 0
+        ids, older, split, put = self.ids, self.older, split or self.split, []
+
+        def known(c: bytes) -> bool:
+            if c not in ids:
+                if c not in older:
+                    return False
+                ids[c] = older[c]
+                put.append(c)
+            return True
+
+        new = [(c, split(c)) for c in chunks if not known(c)]
+        for plain, found, ends in self.encoded([t for t in dict.fromkeys(t for _, ts in new for t in ts) if not known(t)]):
             data, at = found.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
             ids.update(zip(plain, (data[a:b] for a, b in zip(at, at[1:]))))
+            put += plain
         for c, ts in new:
             if len(ts) != 1:
                 ids[c] = b"".join([ids[t] for t in ts])
+                put.append(c)
+        self.held += sum(map(len, put)) + sum(len(ids[c]) for c in put) + ENTRY_BYTES * len(put)
         return [ids[c] for c in chunks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        return list(self.each(texts))
+
+    def each(self, texts: list[bytes], most_words: int = 1 << 17):
+        """As encode, one text after the other; the ids of about `most_words` words, or of a single longer text, are in memory at a time."""
         plain = [self.plain(t) for t in texts]
+        odd = {i: t for i, (t, p) in enumerate(zip(texts, plain)) if p is None}
         codes, ends, names = common.words([p or b"" for p in plain])
         known = self.learn(names)
         size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        n = size[codes]
-        data = np.frombuffer(b"".join(known), np.uint32)[common.ranges((np.cumsum(size) - size)[codes], n)].tobytes()
-        at = (4 * np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]).tolist()
-        out = [data[a:b] for a, b in zip(at, at[1:])]
-        for i, p in enumerate(plain):
-            if p is None:
-                tokens = self.library_split(texts[i])
-                out[i] = b"".join(map(dict(zip(tokens, self.learn(tokens, lambda t: (t,)))).__getitem__, tokens))
-        return out
+        start, known = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint32)
+        del plain, names
+        row, word = 0, 0
+        while row < len(texts):
+            last = max(row + 1, int(np.searchsorted(ends, word + most_words, side="right")))
+            some = codes[word : ends[last - 1]]
+            n = size[some]
+            data = known[common.ranges(start[some], n)].tobytes()
+            at = (4 * np.concatenate([[0], np.cumsum(n)])[np.concatenate([[word], ends[row:last]]) - word]).tolist()
+            for i, a, b in zip(range(row, last), at, at[1:]):
+                if i in odd:
+                    tokens = self.library_split(odd[i])
+                    yield b"".join(map(dict(zip(tokens, self.learn(tokens, lambda t: (t,)))).__getitem__, tokens))
+                else:
+                    yield data[a:b]
+            row, word = last, int(ends[last - 1])

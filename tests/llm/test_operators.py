@@ -636,3 +636,43 @@ def test_lm_words_share_the_events_of_their_beginnings():
     assert sum(len(bit) for _, _, bit, _, _ in mixer.examples(known, words, counts.astype(float))) == len(once)
     table, place = known.look(lm.Events(words), 2)
     assert table.shape[2] == 1 and len(table) < len(place)  # no context of this size has its groups apart
+
+
+def _traced(work) -> tuple[int, int]:
+    """Bytes that Python and numpy hold after work, and at most during it."""
+    import gc
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        gc.collect()
+        return tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_stay_small():
+    """What the encoder keeps is bounded by bytes, ids of a block are not all in memory at once, new words are scored some at a time."""
+    from sparkloom.llm.langid import _NAMES, Model
+    from sparkloom.llm.pretokens import PreTokens
+
+    r = random.Random(3)
+    letters = lambda n: r.randbytes(n).translate(bytes(97 + i % 26 for i in range(256)))
+    tokens, long = PreTokens(vocabulary()), [letters(300_000) for _ in range(8)]
+    blocks = [[b" ".join(str(k * 5000 + i).encode() + b"-" * 700 for i in range(5000))] for k in range(40)]
+    held, _ = _traced(lambda: [len(x) for b in blocks for x in tokens.encode(b)])
+    assert held < 150 << 20  # 140 MB of text without a chunk that comes twice
+    for texts_ in [[t] for t in long] + [blocks[0], blocks[0]]:
+        got = tokens.encode(texts_)
+        want = tokens.tok.encode_batch_fast([t.decode() for t in texts_], add_special_tokens=False)
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [w.ids for w in want]
+
+    common_words = [b"the of and to in " * 40_000] * 10
+    _, most = _traced(lambda: [len(x) for x in PreTokens.each(tokens, common_words)])
+    assert most < 60 << 20  # 2,000,000 words
+
+    words = list({letters(r.randrange(3, 12)) for _ in range(150_000)})
+    model = Model(["a", "b"], np.ones((1 << 10, 2)), np.ones((len(_NAMES), 2)), 10)
+    _, most = _traced(lambda: model.scores(words))
+    assert most < 60 << 20
